@@ -15,8 +15,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import token_report
+
+    return token_report(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import files_report
+
+    return files_report(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLES = {
