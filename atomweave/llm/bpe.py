@@ -9,7 +9,6 @@ their own ranks.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
