@@ -39,11 +39,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_report(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES = {
