@@ -39,6 +39,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_report(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
 }
 
@@ -73,4 +80,15 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+        ), p AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r(id, c) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, p.y FROM r JOIN p ON r.c = p.x
+        ), n AS (SELECT x, count(*) AS n FROM p GROUP BY x), c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+        FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
 }
