@@ -39,6 +39,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_report(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
+    "op7_pii": op7_pii,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
 }
