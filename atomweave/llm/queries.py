@@ -63,6 +63,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+#: The production mixture: odd sources weigh twice as much as even ones; Spanish is raised, English lowered.
+WEIGHTS = {("odd",): 2.0, ("odd", "es"): 2.0, ("even", "es"): 2.0, ("odd", "en"): 0.5, ("even", "en"): 0.5}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"), weights=WEIGHTS, fraction=0.8, epochs=4, seed=17)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_line_dedup": op3_line_dedup,
@@ -72,6 +82,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
