@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 #: The code points with the White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: The pre-token pattern for lower-cased texts of code points up to U+00FF, where letters and numbers are these.
+LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+BEYOND = re.compile("[^\x00-\xff]|<\\|")
 
 
 def byte_alphabet() -> list[str]:
@@ -34,13 +36,52 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class PairIndexBPE:
+class PieceEncoder:
+    """Texts to ids by way of their distinct pieces; each piece that is not in the cache is encoded once a batch.
+
+    Texts of code points up to U+00FF are lower-cased and cut into pre-tokens whole (normal form C changes nothing there);
+    others, and those that may hold special tokens, chunk by chunk. The cache outlives a task where the Python worker does;
+    it is bounded, and clearing it changes nothing but speed.
+    """
+
+    def __init__(self, cache: int):
+        self.limit, self.known = cache, {}
+
+    def pieces(self, chunk: str) -> list[str]:
+        """The pieces of a chunk that the fast way does not cover."""
+        raise NotImplementedError
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def cut(self, text: str) -> list[str]:
+        if BEYOND.search(text) is None:
+            return LATIN.findall(text.lower())
+        out: list[str] = []
+        for chunk in text.replace("\n", " ").split(" "):
+            out += LATIN.findall(chunk.lower()) if BEYOND.search(chunk) is None else self.pieces(chunk)
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known, cut = self.known, [self.cut(t) for t in texts]
+        todo = list(set().union(*cut).difference(known))
+        for i in range(0, len(todo), 200_000):
+            some = todo[i : i + 200_000]
+            known.update(zip(some, self.encode(some), strict=True))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+
+class PairIndexBPE(PieceEncoder):
     """A word-end BPE tokenizer file of the tokenizers library, encoded by the pair occurrence index."""
 
     def __init__(self, path: str, cache: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__(cache)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,7 +104,6 @@ class PairIndexBPE:
         self.keys = keys[self.rank_of]
         by_id = {i: t for t, i in (self.vocab | self.special).items()}
         self.tokens = [by_id.get(i, "").encode() for i in range(max(by_id) + 1)]
-        self.limit, self.pieces, self.chunks = cache, {}, {"": b""}
 
     # -- the index ---------------------------------------------------------------------------------------------------
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,8 +112,8 @@ class PairIndexBPE:
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.rank_of[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, all words merged together."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers, all words merged together."""
         if not words:
             return []
         sizes = np.array([len(w) for w in words])
@@ -134,35 +174,26 @@ class PairIndexBPE:
             prv[after[has]] = p[has]
             before = prv[p]
             add(np.concatenate([p, before[before >= 0]]))
-        ids = sym[alive].astype("<u4")
-        return np.split(ids, np.cumsum(np.add.reduceat(alive, ends - sizes))[:-1])
+        ids = sym[alive].astype("<u4").tobytes()
+        cut = np.r_[0, np.cumsum(np.add.reduceat(alive, ends - sizes, dtype=np.int64)) * 4].tolist()
+        return [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
     # -- texts -------------------------------------------------------------------------------------------------------
-    def _pieces(self, chunk: str) -> list[bytes | int]:
-        """Pre-tokens of a chunk as bytes; special tokens as ids."""
-        out: list[bytes | int] = []
-        for part in self.at_special.split(chunk) if "<|" in chunk else (chunk,):
+    def pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk; special tokens as they are."""
+        out: list[str] = []
+        for part in self.at_special.split(chunk):
             if part in self.special:
-                out.append(self.special[part])
-            elif part.isascii():
-                out += [x.encode() for x in ASCII.findall(part.lower())]
+                out.append(part)
             else:
-                out += [x.encode("utf-8") for x in self.split.findall(self.normalizer.normalize_str(part))]
+                out += self.split.findall(self.normalizer.normalize_str(part))
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > self.limit:
-            self.chunks, self.pieces = {"": b""}, {}
-        new = set().union(*cut).difference(self.chunks) if cut else set()
-        parts = {c: self._pieces(c) for c in new}
-        todo = sorted({p for ps in parts.values() for p in ps if isinstance(p, bytes)}.difference(self.pieces))
-        self.pieces.update(zip(todo, (x.tobytes() for x in self.merge(todo)), strict=True))
-        for c, ps in parts.items():
-            self.chunks[c] = b"".join(self.pieces[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in ps)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        ids = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        plain = [p for p in pieces if p not in ids]
+        ids.update(zip(plain, self.merge([p.encode() for p in plain]), strict=True))
+        return [ids[p] for p in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the tokens joined by blanks, as the library decodes where the file names no decoder; unknown ids are left out."""
@@ -176,7 +207,7 @@ def load(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def slices(texts: list[str], chars: int = 16_000_000):
+def slices(texts: list[str], chars: int = 8_000_000):
     """(from, to) of runs of texts of about that many characters, so that very long texts don't pile up."""
     start = total = 0
     for i, t in enumerate(texts):
