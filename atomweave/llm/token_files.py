@@ -13,7 +13,7 @@ the levels. Files are written in ascending document id; their names carry that o
 from __future__ import annotations
 
 import json
-import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import BEYOND, PieceEncoder, slices
 from .common import partitions, shared_path
 
 MAGIC = b"ADAC0001"
@@ -127,34 +128,45 @@ def _library(path: str, cache: int):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path, cache)
+    return LibraryEncoder(path, cache)
 
 
-class ChunkEncoder:
-    """The tokenizers library over chunks between blanks and line feeds; each distinct chunk of a task is encoded once.
+class LibraryEncoder(PieceEncoder):
+    """The tokenizers library over pre-tokens, or over chunks between blanks and line feeds.
 
-    For word-end vocabularies that drop white space no token crosses a chunk, so this equals encoding the whole text.
+    For word-end vocabularies that drop white space no token crosses either, so this equals encoding the whole text.
     """
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
+        super().__init__(cache)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.known = cache, {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-
-
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 16_000_000, n: int | None = None, cache: int = 400_000) -> DataFrame:
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def pieces(self, chunk: str) -> list[str]:
+        return [chunk]
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Plain pieces go to the library a thousand at a time, joined by blanks, and are told apart by the word-end tokens."""
+        ids = {}
+        plain = [p for p in pieces if BEYOND.search(p) is None]
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = got.tobytes(), [0, *((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()]
+            ids.update(zip(some, (raw[x:y] for x, y in zip(ends, ends[1:], strict=False)), strict=True))
+        for p in pieces:
+            if p not in ids:
+                ids[p] = array("I", self.tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids).tobytes()
+        return [ids[p] for p in pieces]
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 4_000_000, n: int | None = None, cache: int = 400_000) -> DataFrame:
     """Writes the files into folder and returns their manifest (file_no, part_no, path, n_docs, n_tokens), read back from it.
 
     Null texts count as empty: the end id alone. Rows with the same id lie beside each other, rows with a null id first.
@@ -163,8 +175,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """
     import pyarrow as pa
 
-    from .bpe import slices
-
     spark = docs.sparkSession
 
     def run(batches):
@@ -173,7 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        encode, end = _library(tokenizer_path, cache), end_id.to_bytes(4, "little")
+        encode, end = _library(tokenizer_path, cache).encode_batch, end_id.to_bytes(4, "little")
         doc_ids, ids, total, number = [], [], 0, 0
 
         def flush():
