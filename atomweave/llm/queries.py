@@ -15,6 +15,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_report
+
+    return jaccard_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
@@ -75,6 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
@@ -86,6 +93,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+        ), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s), o AS (
+            SELECT a.doc_id AS i, b.doc_id AS j, a.n + b.n AS t, count(*) AS c FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), p AS (SELECT i, j FROM o WHERE 100 * c >= 80 * (t - c)), r(id, c) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.id, p.j FROM r JOIN p ON r.c = p.i
+        ), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT s.doc_id, len(s.s) AS n_shingles, m.c AS component_id FROM s JOIN m ON m.id = s.doc_id""",
     "op3_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
