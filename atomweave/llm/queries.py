@@ -33,7 +33,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -42,13 +42,13 @@ def _tokenizer() -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import token_report
 
-    return token_report(_table(spark, sf_dir, "documents"), _tokenizer())
+    return token_report(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import files_report
 
-    return files_report(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
+    return files_report(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
