@@ -59,8 +59,8 @@ def hubs(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float | N
         lost = own.where("strength is null").groupBy("workspace").agg(F.sum("score").alias("lost"))
         own = own.join(F.broadcast(lost), "workspace", "left")  # one row a workspace
         new = own.select("workspace", "id", ((F.lit(1 - DAMP) / F.col("n")) + F.lit(DAMP) * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("score"), F.col("score").alias("was"))
+        new = cut(new)  # each round reads the last one three times
         if i % every == 0 and i < rounds:
-            new = cut(new)
             if tolerance is not None:
                 worst = new.groupBy("workspace").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("l1")).agg(F.max("l1")).first()[0]
                 if worst is None or worst < tolerance:
@@ -69,7 +69,7 @@ def hubs(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float | N
     return rank
 
 
-def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 20, every: int = 5) -> DataFrame:
+def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 20, every: int = 2) -> DataFrame:
     """(workspace, id, label): all at once, the heaviest label of the neighbours, the smallest of equals; lone claims keep their own."""
     own = nodes.select("workspace", "id", F.col("id").alias("label"))
     for i in range(1, rounds + 1):

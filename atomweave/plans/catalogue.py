@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import fusing, memory, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, memory, fusing)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -93,12 +93,12 @@ def supplier_ballots(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("qid"))
     li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("r"), F.round(F.sum("l_quantity"), 2).alias("u"), F.count_distinct("l_orderkey").cast("double").alias("o"))
-    own = li.join(F.broadcast(s), "s_suppkey") if False else li.join(s, "s_suppkey")
+    own = li.join(s, "s_suppkey")
     flat = own.select("qid", F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("key"), F.posexplode(F.array("r", "u", "o")).alias("ballot", "score"))
     # the first ballot names everyone, the others their upper part, so that ballots differ in whom they name
     w = W.partitionBy("qid", "ballot").orderBy(F.col("score").desc(), "key")
     n = F.count(F.lit(1)).over(W.partitionBy("qid", "ballot"))
-    flat = flat.withColumn("pos", F.row_number().over(w) - 1).where((F.col("ballot") == 0) | (F.col("pos") * 4 < n * 3))
+    flat = flat.withColumns({"pos": F.row_number().over(w) - 1, "n": n}).where((F.col("ballot") == 0) | (F.col("pos") * 4 < F.col("n") * 3))
     return flat.select("qid", "ballot", "pos", "key", "score")
 
 
