@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,8 +111,6 @@ REPORT = "words int, sentences int, grade double, ease double, adverbs int, adve
 
 def report(text: Column, kind: Column | None = None) -> Column:
     """Struct REPORT of a text; mail is not warned of, notes are read as files."""
-    import pandas as pd
-
     def run(texts: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         rows = []
         for t, k in zip(texts, kinds, strict=True):
@@ -123,8 +122,6 @@ def report(text: Column, kind: Column | None = None) -> Column:
 
 
 def first_sentence(text: Column) -> Column:
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: next(iter(sentences(t)), None) if isinstance(t, str) else None)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,8 +127,6 @@ def fold(word: str) -> str:
 
 def stem_words(words: Column) -> Column:
     """fold over an array of words."""
-    import pandas as pd
-
     def run(batch: pd.Series) -> pd.Series:
         return batch.map(lambda own: None if own is None else [fold(w) for w in own])
 

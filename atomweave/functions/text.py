@@ -263,12 +263,15 @@ def glob_regex(pattern: str) -> str:
 
 def is_ignored(path: Column, patterns: list[str]) -> Column:
     """Whether a pattern meets the path, its name, its folder or one of its parts."""
-    parts = F.split(path, "/")
     folder = F.regexp_replace(path, "/?[^/]*$", "")
+
+    def meets(pattern: str) -> Column:
+        r = glob_regex(pattern.rstrip("/"))
+        return path.rlike(r) | F.exists(F.split(path, "/"), lambda x: x.rlike(r)) | ((folder != "") & folder.rlike(r))
+
     out = F.lit(False)
     for p in patterns:
-        r = glob_regex(p.rstrip("/"))
-        out = out | path.rlike(r) | F.exists(parts, lambda x, r=r: x.rlike(r)) | ((folder != "") & folder.rlike(r))
+        out = out | meets(p)
     return out
 
 
