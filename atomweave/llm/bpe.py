@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches, text_slices
+
 #: The code points with the White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern for lower-cased texts of code points up to U+00FF, where letters and numbers are these.
@@ -77,7 +79,7 @@ class PieceEncoder:
 class PairIndexBPE(PieceEncoder):
     """A word-end BPE tokenizer file of the tokenizers library, encoded by the pair occurrence index."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 100_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -207,18 +209,6 @@ def load(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def slices(texts: list[str], chars: int = 8_000_000):
-    """(from, to) of runs of texts of about that many characters, so that very long texts don't pile up."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids binary, decoded string) of each row: ids are little-endian unsigned 32-bit integers.
 
@@ -229,13 +219,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches):
         bpe = load(tokenizer_path)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                ids = bpe.encode_batch(texts[i:j])
+            for i, j, texts in text_slices(b.column(1)):
+                ids = bpe.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded string")
+    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

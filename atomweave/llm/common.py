@@ -48,6 +48,57 @@ def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if small(ids, limit) else ids
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine: workers outlive tasks and share an executor's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """run, a function of an iterator of batches, that trims its worker when a partition ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+#: Rows of an Arrow batch of texts at most: beside the rows in Spark's own buffers, a worker holds a batch going in and one coming out.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows per Arrow batch to BATCH_ROWS where it is higher. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def text_slices(column, chars: int = 3_000_000):
+    """(from, to, texts) of runs of rows of an Arrow string column of about that many bytes, nulls as empty texts; only one run is decoded at a time."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n = 0, len(column)
+    while i < n:
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + chars, "right")))
+        yield i, j, [x or "" for x in column.slice(i, j - i).to_pylist()]
+        i = j
+
+
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -66,7 +117,7 @@ class Shingler:
     The cache of word hashes is bounded; clearing it changes nothing but speed.
     """
 
-    def __init__(self, words: int = 5, cache: int = 400_000):
+    def __init__(self, words: int = 5, cache: int = 100_000):
         self.k, self.limit, self.cache = words, cache, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self loops and repeated edges change nothing. An empty table gives an empty one.
     """
-    state = written(edges.select("a", "b").where("a <> b").mapInArrow(_local, "a long, b long").distinct(), "components")
+    state = written(edges.select("a", "b").where("a <> b").mapInArrow(lean(_local), "a long, b long").distinct(), "components")
 
     def mark(e: DataFrame):
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

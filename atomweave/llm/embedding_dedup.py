@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import lean, sized, written
 from .components import components, forest
 
 GRID = 1.5  # width of a grid cell; unit vectors have projections of deviation 1
@@ -141,7 +141,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                     n = len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array([t] * n, pa.int32()), pa.array(cells[:, t].copy()), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in cells], pa.binary())], schema=schema)
 
-    dealt = usable.select("rid", "label", "dim", "count", "v").mapInArrow(spread, "label string, dim int, t int, cell long, rid long, x binary, cells binary")
+    dealt = usable.select("rid", "label", "dim", "count", "v").mapInArrow(lean(spread), "label string, dim int, t int, cell long, rid long, x binary, cells binary")
     dealt = written(dealt, "vector-cells")
     cell = ["label", "dim", "t", "cell"]
     big = dealt.groupBy(*cell).count().where(F.col("count") > 1).select(*cell, F.ceil(F.col("count") / block).cast("int").alias("chunks"))

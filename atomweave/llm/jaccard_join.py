@@ -27,8 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import Shingler, partitions, sized, written
+from .common import Shingler, lean, partitions, sized, small_batches, text_slices, written
 from .components import components
 
 #: Frequent shingles the driver may hold and broadcast (8 bytes each and a class); beyond it only higher frequency classes are demoted.
@@ -47,9 +46,8 @@ def _count(bits: int):
     def run(batches):
         shingles = Shingler()
         for b in batches:
-            texts = [x or "" for x in b.column(0).to_pylist()]
-            for i, j in slices(texts):
-                parts = [shingles(t) for t in texts[i:j]]
+            for _, _, texts in text_slices(b.column(0), 8_000_000):
+                parts = [shingles(t) for t in texts]
                 h = np.sort(np.concatenate(parts) >> np.uint64(32 - bits)) if parts else np.zeros(0, np.uint64)
                 if len(h):
                     bucket = (h >> np.uint64(32)).astype(np.int32)
@@ -73,7 +71,7 @@ def _frequent(rare: int):
 
 def frequent_shingles(docs: DataFrame, rare: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(leading bits + 32 bits, ascending; frequency class from 1) of the shingles in more than rare documents, at most FREQUENT of them."""
-    found = docs.select("text").mapInArrow(_count(bits), "bucket int, keys binary").groupBy("bucket").applyInPandas(_frequent(rare), "key long, level long")
+    found = docs.select("text").mapInArrow(lean(_count(bits)), "bucket int, keys binary").groupBy("bucket").applyInPandas(_frequent(rare), "key long, level long")
     found = written(found, "jaccard-frequent")
     least, total = 1, 0
     for level, n in sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True):  # one row a class
@@ -116,8 +114,7 @@ def _sets(bits: int, keys, levels):
         shingles, keys_, levels_ = Shingler(), keys.value, levels.value
         for b in batches:
             n, sig, sk, rare, freq = [], [], [], [], []
-            for t in b.column(4).to_pylist():
-                s = shingles(t)
+            for s in (shingles(t) for _, _, texts in text_slices(b.column(4)) for t in texts):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sk.append(sketch(s) if len(s) else b"")
@@ -229,13 +226,13 @@ def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, lo, hi, linked) of each pair of points, linked exactly."""
     side = lambda c: points.select(F.col("rid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "as", "bs")
-    near = written(near.mapInArrow(_bounds, "a long, b long, lo double, maybe boolean"), "jaccard-bounds")
+    near = written(near.mapInArrow(lean(_bounds), "a long, b long, lo double, maybe boolean"), "jaccard-bounds")
     open_ = near.where("maybe").select("a", "b")
     ids = written(open_.select(F.col("a").alias("rid")).unionByName(open_.select(F.col("b").alias("rid"))).distinct().join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
-    sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(_hashes, "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
+    sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(lean(_hashes), "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
     sets = written(ids.join(sets, ["id0", "th"]).select("rid", "set"), "jaccard-sets")
     full = open_.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    exact = full.mapInArrow(_exact, "a long, b long, d double, linked boolean")
+    exact = full.mapInArrow(lean(_exact), "a long, b long, d double, linked boolean")
     out = near.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("linked", F.lit(False)).alias("linked"))
     return written(out, "jaccard-measured")
 
@@ -248,11 +245,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty texts and texts without words have an empty set and link with nothing. Rows that share an id are rows of their own. An
     empty table gives no rows.
     """
-    sc, bits = docs.sparkSession.sparkContext, _bits(docs)
+    sc, bits = small_batches(docs).sparkSession.sparkContext, _bits(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns({"id0": F.coalesce("id", F.lit(0)), "th": F.xxhash64("text", F.col("id").isNull())})
     keys, levels = (sc.broadcast(x) for x in frequent_shingles(docs, rare, bits))
-    points = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "id0", "th", "text").mapInArrow(_sets(bits, keys, levels), SETS)
+    points = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "id0", "th", "text").mapInArrow(lean(_sets(bits, keys, levels)), SETS)
     points = written(points, "jaccard-points")
 
     # Equal sets are one point: the row written first.
@@ -261,7 +258,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = members.where("rid <> point or n = 0").select("rid")
     points = points.join(sized(copies), "rid", "left_anti")
 
-    rare_pairs = points.select("rid", "n", "rare").mapInArrow(_deal(bits), "bucket int, key binary, rid binary, n binary, pos binary").groupBy("bucket").applyInPandas(_region_pairs, "a long, b long")
+    rare_pairs = points.select("rid", "n", "rare").mapInArrow(lean(_deal(bits)), "bucket int, key binary, rid binary, n binary, pos binary").groupBy("bucket").applyInPandas(_region_pairs, "a long, b long")
 
     held = points.where(F.size("frequent") > 0).select("rid", "n", (F.length("rare") / 8).cast("int").alias("from"), F.posexplode("frequent").alias("k", "s"))
     held = written(held.select("s", "rid", "n", (F.col("from") + F.col("k")).alias("pos")), "jaccard-held")

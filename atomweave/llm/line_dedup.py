@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import lean, partitions, small_batches, text_slices
 
 WHITE = " \t\n\x0b\x0c\r"
 KEYS = ["d", "dn", "dh"]
@@ -47,8 +47,6 @@ def _candidates(n: int, min_chars: int):
     import pyarrow as pa
     import xxhash
 
-    from .bpe import slices
-
     schema = pa.schema([("pid", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("dn", pa.int32()), ("d", pa.int64()), ("dh", pa.int64()), ("pos", pa.binary()), ("n_lines", pa.int32())])
     spread = lambda h: ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
@@ -84,9 +82,8 @@ def _candidates(n: int, min_chars: int):
     def run(batches):
         for b in batches:
             d, dn, dh = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
-            texts = b.column(3).to_pylist()
-            for i, j in slices(texts, 64_000_000):
-                yield from part(d[i:j], dn[i:j], dh[i:j], texts[i:j])
+            for i, j, texts in text_slices(b.column(3), 16_000_000):
+                yield from part(d[i:j], dn[i:j], dh[i:j], texts)
 
     return run
 
@@ -140,11 +137,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text is one empty line. Rows with one id count as one document. Null ids count as one document that is
     larger than all others (d is 0 and dn is 1 there). An empty table gives no rows.
     """
-    n = partitions(docs.sparkSession)
+    n = partitions(small_batches(docs).sparkSession)
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select("d", "dn", "dh", "t")
-    moved = rows.mapInArrow(_candidates(n, min_chars), MOVED)
+    moved = rows.mapInArrow(lean(_candidates(n, min_chars)), MOVED)
     dealt = moved.repartitionById(n, F.col("pid")).sortWithinPartitions("hi", "lo", "dn", "d", "dh")
-    found = dealt.mapInArrow(_stream, "d long, dn int, dh long, n_lines int, pos binary")
+    found = dealt.mapInArrow(lean(_stream), "d long, dn int, dh long, n_lines int, pos binary")
     one = found.groupBy(*KEYS).agg(F.max("n_lines").alias("n_lines"), F.collect_list("pos").alias("drops"))
     return one.withColumn("b", F.pandas_udf(_bitmap, "struct<n_dropped:long,keep:binary>")("n_lines", "drops")).select(*KEYS, "n_lines", "b.n_dropped", "b.keep")
 
@@ -165,7 +162,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     rows = _keyed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col).select(F.col(id_col).alias("id"), "t", *KEYS).join(bitmaps, KEYS)
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "t", "n_lines", "n_dropped", "keep").mapInArrow(run, f"id {kind}, n_lines long, n_dropped long, kept string").withColumnRenamed("id", id_col)
+    return rows.select("id", "t", "n_lines", "n_dropped", "keep").mapInArrow(lean(run), f"id {kind}, n_lines long, n_dropped long, kept string").withColumnRenamed("id", id_col)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches, text_slices
+
 #: The base kinds in order, with their patterns.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -329,22 +331,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     import pyarrow as pa
 
-    from .bpe import slices
-
     crf = model()  # trained on the driver, a few thousand weights
     crf.cache.clear()
 
     def run(batches):
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                found = find(texts[i:j], crf)
+            for i, j, texts in text_slices(b.column(1)):
+                found = find(texts, crf)
                 counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *counts, pa.array([spans_text(base) for base, _ in found], pa.string()), pa.array([spans_text(base + more) for base, more in found], pa.string())], ["id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string").withColumnRenamed("id", id_col)
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lean(run), f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string").withColumnRenamed("id", id_col)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

@@ -13,25 +13,27 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import slices
+from .common import lean, small_batches, text_slices
 
 WORDS = 48
 NAMES = ("symbols", "doubled marks", "capitals", "repeats of the word before", "repeats in the passage", "no letters", "length", "digits", "short words", "ends of clauses", "beyond ASCII", "size")
 PLAIN = frozenset(".,;:!?'\"()-")
 
 
-def _word(w: str) -> tuple[float, ...]:
+def _word(w: str) -> bytes:
+    """What a passage sums of a word: eight marks, and its length of 30 at most in the fifth place."""
     core = w.strip(".,;:!?'\"()-")
     odd = not core.isalnum() and any(not c.isalnum() and c not in PLAIN for c in w)
-    return (odd, len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum(), len(core) > 1 and core.isupper(), not core or not any(c.isalpha() for c in core), min(len(w), 30) / 10, not core.isalpha() and any(c.isdigit() for c in core), len(core) < 4, w[-1] in ".,", not w.isascii())
+    return bytes((odd, len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum(), len(core) > 1 and core.isupper(), not core or not any(c.isalpha() for c in core), min(len(w), 30), not core.isalpha() and any(c.isdigit() for c in core), len(core) < 4, w[-1] in ".,", not w.isascii()))
 
 
 class PassageFeatures:
     """Texts to (features of all passages, passages of each text). The cache of word features is bounded; clearing it changes nothing but speed."""
 
-    def __init__(self, cache: int = 300_000):
-        self.limit, self.ids, self.rows = cache, {}, []
+    def __init__(self, cache: int = 100_000):
+        self.limit, self.ids, self.rows, self.same = cache, {}, [], {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ids) > self.limit:
@@ -41,7 +43,8 @@ class PassageFeatures:
         at = len(self.rows)
         for w in new:
             self.ids[w] = at
-            self.rows.append(_word(w))
+            row = _word(w)
+            self.rows.append(self.same.setdefault(row, row))
             at += 1
         sizes = np.array([len(w) for w in words])
         bags = np.maximum(1, -(-sizes // WORDS))
@@ -57,7 +60,8 @@ class PassageFeatures:
             used = passage[begin]
             n = np.diff(np.r_[begin, total]).astype(np.float32)
             seen, back = np.unique(ids, return_inverse=True)
-            table = np.array([self.rows[i] for i in seen.tolist()], np.float32)
+            table = np.frombuffer(b"".join([self.rows[i] for i in seen.tolist()]), np.uint8).reshape(len(seen), -1).astype(np.float32)
+            table[:, 4] /= 10
             sums = np.add.reduceat(table[back], begin, axis=0)
             same = np.r_[False, (ids[1:] == ids[:-1]) & (place[1:] > 0)].astype(np.float32)
             pairs = np.unique(passage * np.int64(len(seen)) + back) // len(seen)
@@ -144,41 +148,48 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def run(batches):
         make = PassageFeatures()
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                x, sizes = make(texts[i:j])
+            for i, j, texts in text_slices(b.column(1)):
+                x, sizes = make(texts)
                 parts = np.split(x, np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([v.tobytes() for v in parts], pa.binary())], ["id", "y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("id", "text", "y")  # at most sample_rows rows
-    got = sorted(rows.mapInArrow(run, "id long, y int, x binary").collect())
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("id", "text", "y")  # at most sample_rows rows
+    got = sorted(rows.mapInArrow(lean(run), "id long, y int, x binary").collect())
     if len({r.y for r in got}) < 2:
         return None
     x = [np.frombuffer(r.x, np.float32).reshape(-1, len(NAMES)) for r in got]
     return Attention(len(NAMES)).fit(np.concatenate(x), np.array([len(v) for v in x]), np.array([float(r.y) for r in got]))
 
 
-def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with quality_score (0 to 1); 0.5 everywhere without a model. Null and empty texts are one passage without words."""
+def score(docs: DataFrame, model: Attention | None, text_col: str = "text", at_least: float | None = None) -> DataFrame:
+    """docs with __quality_score (0 to 1); 0.5 everywhere without a model. Null and empty texts are one passage without words.
+
+    at_least: rows of a lower score are left out.
+    """
+    import pyarrow as pa
+
     if model is None:
-        return docs.withColumn("quality_score", F.lit(0.5))
-    import pandas as pd
+        out = docs.withColumn("__quality_score", F.lit(0.5))
+        return out if at_least is None else out.where(F.col("__quality_score") >= at_least)
+    at = docs.columns.index(text_col)
 
     def run(batches):
         make = PassageFeatures()
-        for text in batches:
-            texts = [x if isinstance(x, str) else "" for x in text]
-            yield pd.Series(np.concatenate([model.score(*make(texts[i:j])) for i, j in slices(texts)]) if texts else [], dtype=float)
+        for b in batches:
+            for i, j, texts in text_slices(b.column(at)):
+                got = model.score(*make(texts))
+                own = pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(got, pa.float64())], [*b.schema.names, "__quality_score"])
+                yield own if at_least is None else own.filter(pa.array(got >= at_least))
 
-    return docs.withColumn("quality_score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return small_batches(docs).mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("__quality_score", T.DoubleType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
     r = score(docs.select("doc_id", "text"), train(docs, labels, sample_rows=sample_rows))
-    return r.select("doc_id", F.coalesce(bucket("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    return r.select("doc_id", F.coalesce(bucket("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("__quality_score").alias("score"), (F.col("__quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least threshold; same columns."""
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, labels), at_least=threshold).select(*docs.columns)

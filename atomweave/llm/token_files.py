@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import BEYOND, PieceEncoder, slices
-from .common import partitions, shared_path
+from .bpe import BEYOND, PieceEncoder
+from .common import lean, partitions, shared_path, small_batches, text_slices
 
 MAGIC = b"ADAC0001"
 BLOCK = 512
@@ -166,7 +166,7 @@ class LibraryEncoder(PieceEncoder):
         return [ids[p] for p in pieces]
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 4_000_000, n: int | None = None, cache: int = 400_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 4_000_000, n: int | None = None, cache: int = 250_000) -> DataFrame:
     """Writes the files into folder and returns their manifest (file_no, part_no, path, n_docs, n_tokens), read back from it.
 
     Null texts count as empty: the end id alone. Rows with the same id lie beside each other, rows with a null id first.
@@ -194,9 +194,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             return pa.RecordBatch.from_pydict({"part_no": [part], "file_no": [number], "path": [path.rpartition("/")[2]], "n_docs": [len(doc_ids)], "n_tokens": [total]}, schema=pa.schema([("part_no", pa.int64()), ("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for b in batches:
-            own, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                for d, x in zip(own[i:j], encode(texts[i:j]), strict=True):
+            own = b.column(0).to_pylist()
+            for i, j, texts in text_slices(b.column(1)):
+                for d, x in zip(own[i:j], encode(texts), strict=True):
                     doc_ids.append(d)
                     ids.append(x + end)
                     total += len(x) // 4 + 1
@@ -206,9 +206,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
     rows = rows.repartitionByRange(n or partitions(spark), F.col("d").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"))
-    manifest = rows.mapInArrow(run, "part_no long, file_no long, path string, n_docs long, n_tokens long")
+    manifest = rows.mapInArrow(lean(run), "part_no long, file_no long, path string, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -239,7 +239,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         )
 
     n = partitions(manifest.sparkSession)
-    return files.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("path", "start").repartition(n).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def files_report(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
