@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fusing, memory, retrieval, texts
+from . import forgetting, fusing, memory, retrieval, searching, texts
 
-MODULES = (retrieval, memory, fusing, texts)
+MODULES = (retrieval, memory, fusing, texts, searching, forgetting)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -236,3 +236,11 @@ def test_forgetting(spark):
     df = spark.createDataFrame(rows, "id string, age double, s double")
     off, on, fsrs = (df.select("id", decay.weight(m, F.lit("atom"), F.col("age"), F.col("s")).alias("w")).orderBy(F.col("w").desc(), "id") for m in ("off", "on", "fsrs"))
     assert {r.w for r in off.collect()} == {1.0} and on.first().id == "p3" and fsrs.first().id == "kept" and min(r.w for r in fsrs.collect()) == 0.25
+
+
+def test_forgetting_table(spark):
+    """The published table of the longitudinal corpus."""
+    from atomweave.plans.forgetting import forgetting_table
+
+    got = {r.ordering: (r.kept_first, r.mean_rank) for r in forgetting_table(spark).collect()}
+    assert got == {"off": (0.23, 2.49), "on": (0.27, 3.74), "fsrs": (0.947, 1.05), "lru": (0.0, 8.26), "due first": (0.0, 10.0)}
