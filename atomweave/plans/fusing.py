@@ -163,15 +163,22 @@ def same_claim_hits(spark, d):
     return ST.same_claims(a.where("k >= 2"), a.where("k < 4"), ["workspace", "kind", "text", "set"]).select("id")
 
 
-@both("link_candidates", """WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') || [p_brand] AS n FROM part WHERE p_partkey <= 300), x AS (SELECT id, len(list_distinct(n)) AS k, unnest(list_distinct(n)) AS e FROM p), m AS (SELECT a.id AS a, b.id AS b, a.k + b.k - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.e = b.e AND a.id <> b.id GROUP BY a.id, b.id, a.k, b.k) SELECT a, b, round(c / CAST(u AS DOUBLE), 6) AS overlap FROM m WHERE c / CAST(u AS DOUBLE) >= 0.3""")
+def _named_parts(spark, d):
+    """Parts with three names each: name and brand, brand, size and type, type, size and name."""
+    size = F.col("p_size").cast("string")
+    names = F.array(F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws("/", F.col("p_brand"), size, F.col("p_type")), F.concat_ws("/", F.col("p_type"), size, F.col("p_name")))
+    return V.table(spark, d, "part").select(F.lit("all").alias("workspace"), F.col("p_partkey").alias("id"), F.array_distinct(names).alias("names"))
+
+
+@both("link_candidates", """WITH p AS (SELECT p_partkey AS id, [p_name || ' ' || p_brand, p_brand || '/' || p_size || '/' || p_type, p_type || '/' || p_size || '/' || p_name] AS n FROM part), x AS (SELECT id, len(list_distinct(n)) AS k, unnest(list_distinct(n)) AS e FROM p), m AS (SELECT a.id AS a, b.id AS b, a.k + b.k - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.e = b.e AND a.id <> b.id GROUP BY a.id, b.id, a.k, b.k) SELECT a, b, round(c / CAST(u AS DOUBLE), 6) AS overlap FROM m WHERE c / CAST(u AS DOUBLE) >= 0.3""")
 def link_candidates(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey <= 300").select(F.lit("all").alias("workspace"), F.col("p_partkey").alias("id"), F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("names"))
+    p = _named_parts(spark, d)
     return L.entity_pairs(p, p).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @both("link_targets", None)
 def link_targets(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey <= 300").select(F.lit("all").alias("workspace"), F.col("p_partkey").cast("string").alias("id"), F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("names"))
+    p = _named_parts(spark, d).withColumn("id", F.col("id").cast("string"))
     return L.link_targets(p).select("id", F.array_join("links", ",").alias("links"))
 
 
@@ -307,7 +314,7 @@ def knn_edges(spark, d):
 @both("fire_pairs", None)
 def fire_pairs(spark, d):
     k = F.col("p_partkey")
-    a = V.table(spark, d, "part").where("p_partkey <= 200").select(F.lit("all").alias("workspace"), k.cast("string").alias("id"), F.array((k % 200 + 1).cast("string")).alias("links"), F.create_map((k % 200 + 1).cast("string"), F.lit(0.5)).alias("link_weights"))
+    a = V.table(spark, d, "part").select(F.lit("all").alias("workspace"), k.cast("string").alias("id"), F.array((k % 200 + 1).cast("string")).alias("links"), F.create_map((k % 200 + 1).cast("string"), F.lit(0.5)).alias("link_weights"))
     r = G.fire(a, a.where("cast(id as int) <= 6").select("workspace", "id"))
     return r.select("id", F.array_join("links", ",").alias("links"), F.explode("link_weights").alias("peer", "w")).select("id", "links", "peer", F.round("w", 6).alias("w"))
 

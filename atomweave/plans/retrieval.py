@@ -77,13 +77,12 @@ SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid
 
 
 def scan_linear(spark, d):
-    q = V.asked(spark, d).withColumn("tokens", F.slice("tokens", 1, 4))
     c = V.corpus(spark, d).withColumn("bonus", F.lit(0.0))
-    return R.search_linear(c, q, 5)
+    return R.search_linear(c, V.asked(spark, d), 5)
 
 
 QUERIES["scan_linear"] = scan_linear
-ORACLES["scan_linear"] = f"""WITH d AS (SELECT doc_id AS id, list_distinct({V.words_sql('text')}) AS t FROM documents), q AS (SELECT item_id AS qid, list_slice({V.words_sql('text')}, 1, 4) AS t FROM benchmark),
+ORACLES["scan_linear"] = f"""WITH d AS (SELECT doc_id AS id, list_distinct({V.words_sql('text')}) AS t FROM documents), q AS (SELECT item_id AS qid, {V.words_sql('text')} AS t FROM benchmark),
 h AS (SELECT id, unnest(t) AS h FROM d), hw AS (SELECT DISTINCT h FROM h), qw AS (SELECT qid, term, count(*) AS w FROM (SELECT qid, unnest(t) AS term FROM q) GROUP BY ALL), qd AS (SELECT DISTINCT term FROM qw),
 pr AS (SELECT h, term, CASE WHEN h = term THEN 4.0 WHEN length(term) < 4 THEN 0.0 WHEN starts_with(h, term) THEN 3.0 WHEN contains(h, term) THEN 2.0 WHEN levenshtein(h, term) <= 1 THEN 1.5 ELSE 0.0 END AS s FROM hw CROSS JOIN qd),
 b AS (SELECT id, term, max(s) AS s FROM h JOIN pr USING (h) WHERE s > 0 GROUP BY id, term), s AS (SELECT qid, id, sum(s * w) AS score FROM b JOIN qw USING (term) GROUP BY qid, id)
@@ -91,13 +90,12 @@ SELECT qid, id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number(
 
 
 def prefix_ballot(spark, d):
-    q = V.asked(spark, d).withColumn("tokens", F.slice(F.array_distinct("tokens"), 1, 3))
-    return R.search_prefix(V.corpus(spark, d), q, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return R.search_prefix(V.corpus(spark, d), V.asked(spark, d), 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES["prefix_ballot"] = prefix_ballot
 ORACLES["prefix_ballot"] = f"""WITH d AS (SELECT doc_id AS id, {V.words_sql('text')} AS t FROM documents), q0 AS (SELECT item_id AS qid, {V.words_sql('text')} AS t FROM benchmark),
-q1 AS (SELECT qid, term, min(i) AS i FROM (SELECT qid, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM q0) GROUP BY ALL), q AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY i) AS r FROM q1) WHERE r <= 3),
+q AS (SELECT DISTINCT qid, unnest(t) AS term FROM q0),
 p AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), tm AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qq AS (SELECT qid, q.term, row_number() OVER (PARTITION BY qid ORDER BY coalesce(df, 0) DESC, q.term) AS dr FROM q LEFT JOIN tm ON tm.term = q.term),
 h AS (SELECT qid, id, sum(ln(1 + c)) AS wt FROM p JOIN q USING (term) GROUP BY qid, id),
@@ -108,28 +106,28 @@ SELECT qid, id, round((max(rank) OVER (PARTITION BY qid) - rank + 1) / CAST(max(
 
 def dense_topk(spark, d):
     e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     hits = R.search_dense(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 10, digits=6)
     return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 QUERIES["dense_topk"] = dense_topk
-ORACLES["dense_topk"] = f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 6) AS score, {COS} AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 40)
+ORACLES["dense_topk"] = f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 6) AS score, {COS} AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0)
 SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE c > 0) WHERE rank <= 10"""
 
 
 def dense_trust(spark, d):
     """Cosine + 0.1 trust; trust here from the label."""
     e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     hits = R.search_dense(rows, q, 8, bonus=F.lit(0.1) * F.coalesce(F.col("label"), F.lit(0)) / 10.0, digits=6)
     return hits.select("qid", "id", F.round("score", 6).alias("score"), F.round("cosine", 4).alias("cosine"), "rank")
 
 
 QUERIES["dense_trust"] = dense_trust
-ORACLES["dense_trust"] = f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {COS} AS c, round({COS} + 0.1 * coalesce(b.label, 0) / 10.0, 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20)
+ORACLES["dense_trust"] = f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {COS} AS c, round({COS} + 0.1 * coalesce(b.label, 0) / 10.0, 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0)
 SELECT qid, id, score, round(c, 4) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE c > 0) WHERE rank <= 8"""
 
 
@@ -151,39 +149,40 @@ def max_sim(spark, d):
     """Vectors cut into four token vectors of 16."""
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(c, i * 16 + 1, F.lit(16)))
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), cut(F.col("embedding")).alias("vectors"))
-    hits = R.search_late(e, e.where("id < 10").select(F.col("id").alias("qid"), "vectors"), 400)
+    hits = R.search_late(e, e.where("id % 20 = 0").select(F.col("id").alias("qid"), "vectors"), 400)
     return R.top_k(hits.drop("rank"), 5, digits=6).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES["max_sim"] = max_sim
 ORACLES["max_sim"] = """WITH t AS (SELECT vec_id, [CAST(list_slice(embedding, i * 16 + 1, i * 16 + 16) AS DOUBLE[]) FOR i IN range(0, 4)] AS v FROM embeddings),
-x AS (SELECT vec_id, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM t), m AS (SELECT a.vec_id AS qid, b.vec_id AS id, a.i, max(list_cosine_similarity(a.v, b.v)) AS s FROM x a CROSS JOIN x b WHERE a.vec_id < 10 GROUP BY ALL),
+x AS (SELECT vec_id, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM t), m AS (SELECT a.vec_id AS qid, b.vec_id AS id, a.i, max(list_cosine_similarity(a.v, b.v)) AS s FROM x a CROSS JOIN x b WHERE a.vec_id % 20 = 0 GROUP BY ALL),
 s AS (SELECT qid, id, round(sum(s), 6) AS score FROM m GROUP BY qid, id HAVING sum(s) > 0)
 SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
 
 
 def cosine_pairs(spark, d):
-    e = V.table(spark, d, "embeddings").where("vec_id < 30").select("vec_id", "embedding")
-    p = e.alias("x").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")), F.col("vec_id") < F.col("b"))
+    """Each vector of the stated query set, every twentieth, against all."""
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    p = R.hinted(e.where("vec_id % 20 = 0"), 20_000).join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")), F.col("vec_id") < F.col("b"))
     return p.select(F.col("vec_id").alias("a"), "b", F.round(decay.cosine(F.col("embedding"), F.col("v")), 6).alias("cosine"))
 
 
 QUERIES["cosine_pairs"] = cosine_pairs
-ORACLES["cosine_pairs"] = f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 30"
+ORACLES["cosine_pairs"] = f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0"
 
 
 def card_paragraphs(spark, d):
-    """Paragraphs of long documents as cards, scored against the queries' first words."""
-    docs = V.table(spark, d, "documents").where("n_chars > 2000").select("doc_id", F.posexplode(T.entries(F.coalesce("text", F.lit("")))).alias("n", "p"))
-    own = docs.select("doc_id", "n", T.tokens(F.col("p")).alias("t"))
-    q = V.asked(spark, d, 5).select("qid", F.slice("tokens", 1, 2).alias("w"))
-    hits = own.crossJoin(F.broadcast(q)).select("qid", "doc_id", "n", T.scan_score(F.col("w"), F.array_distinct("t")).alias("score")).where("score > 0")
-    return hits
+    """Paragraphs of documents as cards, scanned for the queries; the five best of each."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.posexplode(T.entries(F.coalesce("text", F.lit("")))).alias("n", "p"))
+    cards = docs.select((F.col("doc_id") * 100_000 + F.col("n")).alias("id"), T.tokens(F.col("p")).alias("tokens"), F.lit(0.0).alias("bonus"))
+    return R.search_linear(cards, V.asked(spark, d), 5)
 
 
+SPLIT = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n(?:[^\\S\\n]*\\n)+')], lambda x: x <> '')"
 QUERIES["card_paragraph_scores"] = card_paragraphs
-ORACLES["card_paragraph_scores"] = f"""WITH l AS (SELECT doc_id, unnest(list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n(?:[^\\S\\n]*\\n)+')], lambda x: x <> '')) AS p,
-    generate_subscripts(list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n(?:[^\\S\\n]*\\n)+')], lambda x: x <> ''), 1) - 1 AS n FROM documents WHERE n_chars > 2000),
-h AS (SELECT DISTINCT doc_id, n, h FROM (SELECT doc_id, n, unnest({V.words_sql('p')}) AS h FROM l)), q AS (SELECT qid, i, term FROM (SELECT item_id AS qid, unnest(list_slice({V.words_sql('text')}, 1, 2)) AS term, generate_subscripts(list_slice({V.words_sql('text')}, 1, 2), 1) AS i FROM benchmark WHERE item_id < 5)),
-b AS (SELECT qid, i, doc_id, n, max(CASE WHEN h = term THEN 4.0 WHEN length(term) < 4 THEN 0.0 WHEN starts_with(h, term) THEN 3.0 WHEN contains(h, term) THEN 2.0 WHEN levenshtein(h, term) <= 1 THEN 1.5 ELSE 0.0 END) AS s FROM h CROSS JOIN q GROUP BY ALL)
-SELECT qid, doc_id, n, CAST(sum(s) AS DOUBLE) AS score FROM b GROUP BY qid, doc_id, n HAVING sum(s) > 0"""
+ORACLES["card_paragraph_scores"] = f"""WITH l AS (SELECT doc_id * 100000 + generate_subscripts({SPLIT}, 1) - 1 AS id, unnest({SPLIT}) AS p FROM documents),
+d AS (SELECT id, list_distinct({V.words_sql('p')}) AS t FROM l), q AS (SELECT item_id AS qid, {V.words_sql('text')} AS t FROM benchmark),
+h AS (SELECT id, unnest(t) AS h FROM d), hw AS (SELECT DISTINCT h FROM h), qw AS (SELECT qid, term, count(*) AS w FROM (SELECT qid, unnest(t) AS term FROM q) GROUP BY ALL), qd AS (SELECT DISTINCT term FROM qw),
+pr AS (SELECT h, term, CASE WHEN h = term THEN 4.0 WHEN length(term) < 4 THEN 0.0 WHEN starts_with(h, term) THEN 3.0 WHEN contains(h, term) THEN 2.0 WHEN levenshtein(h, term) <= 1 THEN 1.5 ELSE 0.0 END AS s FROM hw CROSS JOIN qd),
+b AS (SELECT id, term, max(s) AS s FROM h JOIN pr USING (h) WHERE s > 0 GROUP BY id, term), s AS (SELECT qid, id, sum(s * w) AS score FROM b JOIN qw USING (term) GROUP BY qid, id)
+SELECT qid, id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""

@@ -30,8 +30,8 @@ def _claims(spark, d):
     return own
 
 
-def _asked(spark, d, n=10):
-    return V.table(spark, d, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
+def _asked(spark, d):
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @both("search_ranked", None)
@@ -47,14 +47,14 @@ def search_reranked(spark, d):
         a = T.raw_tokens(q)
         return F.size(F.array_intersect(a, T.raw_tokens(t))) / F.greatest(F.size(a), F.lit(1))
 
-    hits = SE.search(_claims(spark, d), _asked(spark, d, 5), FU.Panel("rrf", "none", "off"), "relevance", 5, reranker=share)
+    hits = SE.search(_claims(spark, d), _asked(spark, d), FU.Panel("rrf", "none", "off"), "relevance", 5, reranker=share)
     return hits.select("qid", "key", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @both("fused_scored", None)
 def fused_scored(spark, d):
-    a = R.search_lexical(V.corpus(spark, d), V.asked(spark, d, 10), "bm25", 50, digits=6)
-    b = R.search_lexical(V.corpus(spark, d), V.asked(spark, d, 10), "dirichlet", 50, digits=6)
+    a = R.search_lexical(V.corpus(spark, d), V.asked(spark, d), "bm25", 50, digits=6)
+    b = R.search_lexical(V.corpus(spark, d), V.asked(spark, d), "dirichlet", 50, digits=6)
     return SE.fused_scored(a, b).select("qid", "id", F.round("vote", 6).alias("vote"), "rank")
 
 
@@ -63,7 +63,7 @@ def activate_cue(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     from ..operators import graph as G
 
-    hits = R.search_dense(e, e.where("id < 5").select(F.col("id").alias("qid"), "vector"), 5, digits=6).select("qid", F.col("id").alias("key"), "score", "rank", F.lit(1).alias("ballots"), F.lit(1).alias("of"))
+    hits = R.search_dense(e, e.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector"), 5, digits=6).select("qid", F.col("id").alias("key"), "score", "rank", F.lit(1).alias("ballots"), F.lit(1).alias("of"))
     return SE.activate(hits, G.knn(e, 5).drop("workspace")).select("qid", "id", F.round("energy", 6).alias("energy"), "weak")
 
 
@@ -99,7 +99,7 @@ def window_boost(spark, d):
 @both("second_hop", None)
 def second_hop(spark, d):
     claims = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = R.search_lexical(V.corpus(spark, d), V.asked(spark, d, 10), "bm25", 3, digits=6)
+    hits = R.search_lexical(V.corpus(spark, d), V.asked(spark, d), "bm25", 3, digits=6)
     return SE.second_hop(hits, claims, _asked(spark, d)).select("qid", "id", "rank")
 
 
@@ -117,7 +117,7 @@ def proposals_mined(spark, d):
 def protocol_units(spark, d):
     from ..sources.jsonl import keep_units
 
-    docs = V.table(spark, d, "documents").where("n_chars > 3000").select(F.col("doc_id").alias("record"), F.lit("book").alias("source"), F.col("text").alias("context"))
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("record"), F.lit("book").alias("source"), F.col("text").alias("context"))
     return keep_units(docs).select("record", "n", "status", "kind", F.md5(F.col("claim").cast("binary")).alias("claim"))
 
 

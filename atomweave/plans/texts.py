@@ -58,7 +58,7 @@ def atom_tokens(spark, d):
 @both("stemmed_terms", None)
 def stemmed_terms(spark, d):
     own = docs(spark, d).select(F.explode(T.tokens(F.col("text"), stem=True)).alias("term"))
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @both("entities", rf"WITH {DOCS}, e AS (SELECT id, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]+\b'))) AS e FROM d) SELECT id, array_to_string(e, ',') AS names FROM e")
@@ -81,10 +81,10 @@ def _secret(spark, d):
     key = (F.when(n == 0, F.concat(F.lit("ghp_"), F.repeat(F.lit("a1B2"), 8))).when(n == 1, F.concat(F.lit("xoxb-"), F.repeat(F.lit("12ab"), 3))).when(n == 2, F.concat(F.lit("AKIA"), F.repeat(F.lit("ABCD"), 4)))
            .when(n == 3, F.concat(F.lit("eyJ"), F.repeat(F.lit("abcd"), 3), F.lit("."), F.repeat(F.lit("efgh"), 3), F.lit("."), F.repeat(F.lit("ijkl"), 3))).when(n == 4, F.lit("password : x")).when(n == 5, F.lit("Bearer abcdefgh1"))
            .when(n == 6, F.lit("-----BEGIN RSA PRIVATE KEY-----")).when(n == 7, F.lit("ghp_short")).otherwise(""))
-    return docs(spark, d).select("id", F.concat(F.substring("text", 1, 200), F.lit(" "), key).alias("text"))
+    return docs(spark, d).select("id", F.concat("text", F.lit(" "), key).alias("text"))
 
 
-SECRET = f"""WITH {DOCS}, s AS (SELECT id, substr(text, 1, 200) || ' ' || CASE id % 9 WHEN 0 THEN 'ghp_' || repeat('a1B2', 8) WHEN 1 THEN 'xoxb-' || repeat('12ab', 3) WHEN 2 THEN 'AKIA' || repeat('ABCD', 4) WHEN 3 THEN 'eyJ' || repeat('abcd', 3) || '.' || repeat('efgh', 3) || '.' || repeat('ijkl', 3) WHEN 4 THEN 'password : x' WHEN 5 THEN 'Bearer abcdefgh1' WHEN 6 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 7 THEN 'ghp_short' ELSE '' END AS text FROM d)"""
+SECRET = f"""WITH {DOCS}, s AS (SELECT id, text || ' ' || CASE id % 9 WHEN 0 THEN 'ghp_' || repeat('a1B2', 8) WHEN 1 THEN 'xoxb-' || repeat('12ab', 3) WHEN 2 THEN 'AKIA' || repeat('ABCD', 4) WHEN 3 THEN 'eyJ' || repeat('abcd', 3) || '.' || repeat('efgh', 3) || '.' || repeat('ijkl', 3) WHEN 4 THEN 'password : x' WHEN 5 THEN 'Bearer abcdefgh1' WHEN 6 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 7 THEN 'ghp_short' ELSE '' END AS text FROM d)"""
 
 
 @both("secrets", f"""{SECRET} SELECT id, CASE WHEN contains(lower(text), '-----begin') AND contains(lower(text), 'private key-----') THEN 'a private key block' WHEN contains(text, 'AGE-SECRET-KEY-1') THEN 'an age secret key'
@@ -126,10 +126,14 @@ def norm_claim(spark, d):
     return docs(spark, d).select("id", F.md5(T.norm_claim(F.col("text")).cast("binary")).alias("norm"))
 
 
-@both("paragraphs", f"""WITH {DOCS}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS l FROM d) SELECT id, count(*) AS n, sum(length(trim(l, ' ' || chr(9) || chr(13)))) AS chars FROM l WHERE trim(l, ' ' || chr(9) || chr(13)) <> '' AND id IN (SELECT id FROM d WHERE NOT regexp_matches(text, '\\n\\s*\\n')) GROUP BY id""")
+BLOCKS = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split_regex(replace(text, chr(13) || chr(10), chr(10)), '\\n(?:[^\\S\\n]*\\n)+')], lambda x: x <> '')"
+LINES = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(text, chr(10))], lambda x: x <> '')"
+
+
+@both("paragraphs", f"""WITH {DOCS}, b AS (SELECT id, CASE WHEN len({BLOCKS}) <= 1 THEN {LINES} ELSE {BLOCKS} END AS p FROM d), u AS (SELECT id, unnest(p) AS p FROM b) SELECT id, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS chars FROM u GROUP BY id""")
 def paragraphs(spark, d):
-    """Texts of one block are cut into lines."""
-    p = docs(spark, d).where(~F.col("text").rlike("\\n\\s*\\n")).select("id", F.explode(T.paragraphs(F.col("text"))).alias("p"))
+    """Blocks between blank lines; texts of one block are cut into lines."""
+    p = docs(spark, d).select("id", F.explode(T.paragraphs(F.col("text"))).alias("p"))
     return p.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("p")).alias("chars"))
 
 
@@ -176,8 +180,8 @@ def frontmatter(spark, d):
 @both("fidelity", f"""WITH {TURNS} SELECT id, CASE WHEN id % 2 = 0 AND trim(regexp_replace({LOW.format('text')}, '\\s+', ' ', 'g')) <> '' THEN 'SUPPORTED' ELSE 'NEI' END AS verdict FROM c""")
 def fidelity(spark, d):
     t = turns(spark, d)
-    claim = F.when(F.col("id") % 2 == 0, F.upper(F.substring("text", 1, 30))).otherwise("no such thing 12345")
-    return t.select("id", T.fidelity(F.when(F.col("id") % 2 == 0, F.translate(F.substring("text", 1, 30), T.LOWER, T.UPPER)).otherwise("no such thing 12345"), F.col("text")).alias("verdict"))
+    claim = F.when(F.col("id") % 2 == 0, F.concat(F.lit("So: "), F.translate("text", T.LOWER, T.UPPER))).otherwise("no such thing 12345")
+    return t.select("id", T.fidelity(claim, F.col("text")).alias("verdict"))
 
 
 WORDS = "regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')"
@@ -221,12 +225,12 @@ def session_documents(spark, d):
 
 def _hits(spark, d):
     e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     h = R.search_dense(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 10, digits=6)
     return h.join(e.select(F.col("vec_id").alias("id"), "label"), "id")
 
 
-HITS = "s AS (SELECT a.vec_id AS qid, b.vec_id AS id, b.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 40), h AS (SELECT qid, id, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 6) DESC, id) AS rank FROM s WHERE c > 0) WHERE rank <= 10)"
+HITS = "s AS (SELECT a.vec_id AS qid, b.vec_id AS id, b.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0), h AS (SELECT qid, id, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 6) DESC, id) AS rank FROM s WHERE c > 0) WHERE rank <= 10)"
 
 
 @both("collapse_best", f"WITH {HITS}, b AS (SELECT qid, label, min(rank) AS best FROM h GROUP BY ALL) SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY best, label) AS rank FROM b")
@@ -239,13 +243,13 @@ def latest_first(spark, d):
     return EV.latest_first(_hits(spark, d), 5, "id").select("qid", "id", "rank")
 
 
-@both("eval_tally", f"""WITH {HITS}, j AS (SELECT a.vec_id AS qid, b.vec_id AS key, a.label AS g FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <= a.vec_id WHERE a.vec_id < 40), n AS (SELECT qid, g, count(*) AS n FROM j GROUP BY ALL),
+@both("eval_tally", f"""WITH {HITS}, j AS (SELECT a.vec_id AS qid, b.vec_id AS key, a.label AS g FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <= a.vec_id WHERE a.vec_id % 20 = 0), n AS (SELECT qid, g, count(*) AS n FROM j GROUP BY ALL),
     m AS (SELECT h.qid, count(*) FILTER (WHERE rank <= 1) AS a1, count(*) FILTER (WHERE rank <= 5) AS a5, count(*) FILTER (WHERE rank <= 10) AS a10, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h JOIN j ON j.qid = h.qid AND j.key = h.id GROUP BY h.qid),
     t AS (SELECT n.*, coalesce(a1, 0) AS a1, coalesce(a5, 0) AS a5, coalesce(a10, 0) AS a10, coalesce(dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 5) + 1)]) AS nd FROM n LEFT JOIN m USING (qid))
     SELECT g, count(*) AS queries, round(avg(CASE WHEN a1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN a5 > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_5, round(avg(a10 / CAST(n AS DOUBLE)), 6) AS recall_10, round(avg(nd), 6) AS ndcg_5 FROM t GROUP BY g""")
 def eval_tally(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", "label")
-    j = e.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("label").alias("g")).join(e.select(F.col("vec_id").alias("key"), F.col("label").alias("g")), "g").where("key <= qid")
+    j = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("g")).join(e.select(F.col("vec_id").alias("key"), F.col("label").alias("g")), "g").where("key <= qid")
     h = _hits(spark, d).select("qid", F.col("id").alias("key"), "rank")
     return EV.tally(h, j, by=["g"]).select("g", "queries", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "recall_10", "ndcg_5")])
 
@@ -261,7 +265,7 @@ def protocol_table(spark, d):
 @both("bearing", None)
 def bearing(spark, d):
     claims = docs(spark, d)
-    q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.array(F.substring("text", 1, 40)).alias("answers"))
+    q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.array("text").alias("answers"))
     return EV.bearing(claims, q)
 
 

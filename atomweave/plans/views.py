@@ -57,8 +57,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"), "text", "source")
 
 
-def asked(spark: SparkSession, d: str, most: int = 1_000_000) -> DataFrame:
-    return table(spark, d, "benchmark").where(F.col("item_id") < most).select(F.col("item_id").alias("qid"), T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"), "text")
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"), "text")
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
