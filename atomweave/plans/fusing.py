@@ -182,17 +182,20 @@ def link_targets(spark, d):
     return L.link_targets(p).select("id", F.array_join("links", ",").alias("links"))
 
 
-@both("replaces_pairs", None)
+@both("replaces_pairs", f"""WITH {A}, t AS (SELECT DISTINCT text, kind, k, entities FROM atoms) SELECT x.text AS new_id, y.text AS old_id FROM t x JOIN t y ON x.kind = y.kind AND x.k <> y.k
+    WHERE len(list_intersect(x.entities, y.entities)) > 0""")
 def replaces_pairs(spark, d):
-    c = V.table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("id"), F.lit("lesson").alias("kind"), "text", F.lit(None).cast("array<string>").alias("entities"))
+    """Distinct claims of the events: those of one kind and type that differ in their level close each other, as five of seven words meet."""
+    c = V.atoms(spark, d).select(F.col("text").alias("id"), "text", "kind", "entities").distinct()
     s = ST.shape(c)
     return ST.replaced(s, s)
 
 
 @both("consolidate_pairs", None)
 def consolidate_pairs(spark, d):
-    c = V.table(spark, d, "conversations").select(F.col("role").alias("workspace"), F.lpad((F.col("conv_id") * 100 + F.col("turn")).cast("string"), 8, "0").alias("id"), F.lit("lesson").alias("kind"), "text", F.lit(None).cast("array<string>").alias("entities"), (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("ts"))
-    return ST.consolidate(c)
+    """Later claims of a user close earlier ones of the same kind, greedily in order of time."""
+    a = V.atoms(spark, d).where("not tombstone").select("workspace", "id", "kind", "text", "entities", F.col("ts").cast("string").alias("ts"))
+    return ST.consolidate(a)
 
 
 NORM = "rtrim(trim(regexp_replace(translate(coalesce({0}, ''), '" + T.UPPER + "', '" + T.LOWER + "'), '\\s+', ' ', 'g')), '.,;:')"
