@@ -12,10 +12,11 @@ the sets and the places of the pivot in both leave room for the overlap.
 The order comes from counts of all shingles of all documents: those in more than rare documents are demoted by frequency
 class, so a region of any other pivot has at most rare members and is joined at once.
 
-Recursion. In the region of a frequent pivot one member becomes a document pivot and every other member's distance to it is
-found. Members linked to it form one component and need no further pairs. Where a region still holds several components,
-members outside the largest are joined with the members of others that lie in their triangle window: the difference of
-the distances to the document pivot is at most 0.2 (bounds of it where the distance is not known exactly).
+Recursion. In the region of a frequent pivot some members become document pivots and the other members' distances to them are
+found. Members linked to a pivot form one component and need no further pairs. Where a region still holds several components,
+members outside the largest become pivots in turn. After that, members outside the largest component are a stated query set:
+blocks of their region compare them with the members of others that lie in their triangle window, where the difference of the distances to the first document pivot is
+at most 0.2 (bounds of it where the distance is not known exactly).
 
 Distances are tested by parity sketches first, whose Hamming distance never exceeds the symmetric difference, and the rest
 exactly on the full sets. Documents with equal sets are one point. Nothing is dropped at any step, so the join is exact.
@@ -32,6 +33,10 @@ from .components import components
 
 #: Frequent shingles the driver may hold and broadcast (8 bytes each and a class); beyond it only higher frequency classes are demoted.
 FREQUENT = 4_000_000
+#: Document pivots of a region in a round, and rounds before what is left is joined.
+PIVOTS, ROUNDS = 4, 1
+#: Rows of a region that the rows of smaller components are compared with in one group.
+BLOCK = 256
 
 
 def _bits(docs: DataFrame) -> int:
@@ -237,6 +242,49 @@ def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     return written(out, "jaccard-measured")
 
 
+def _block(pdf):
+    """Pairs of rows that ask and rows of a chunk of their region that may link: other component, sizes, places, window and sketches allow it."""
+    import pandas as pd
+
+    q, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    out = []
+    col = lambda d, c: d[c].to_numpy()
+    for own, rows in ((x, z) for _, x in q.groupby(q["sketch"].str.len()) for _, z in y.groupby(y["sketch"].str.len())):
+        a, b = (np.frombuffer(b"".join(d["sketch"]), np.uint8).reshape(len(d), -1) for d in (own, rows))
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+        a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+        n, m = col(own, "n").astype(np.int64)[:, None], col(rows, "n").astype(np.int64)[None, :]
+        room = 1 + np.minimum(n - col(own, "pos")[:, None] - 1, m - col(rows, "pos")[None, :] - 1)
+        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * room >= 4 * (n + m)) & (9 * np.abs(n - m) <= n + m)
+        ok &= (col(own, "lo")[:, None] - col(rows, "hi")[None, :] <= 0.2 + 1e-9) & (col(rows, "lo")[None, :] - col(own, "hi")[:, None] <= 0.2 + 1e-9)
+        ok &= (col(own, "label")[:, None] != col(rows, "label")[None, :]) & ((col(rows, "label") == col(rows, "major"))[None, :] | (col(own, "rid")[:, None] < col(rows, "rid")[None, :]))
+        i, j = np.nonzero(ok)
+        for at in range(0, len(i), 50_000):
+            x, z = i[at : at + 50_000], j[at : at + 50_000]
+            apart_ = np.bitwise_count(a[x] ^ b[z]).sum(1, dtype=np.int64)
+            fine = 9 * apart_ <= n[x, 0] + m[0, z]
+            p, r = col(own, "rid")[x[fine]], col(rows, "rid")[z[fine]]
+            out.append(pd.DataFrame({"a": np.minimum(p, r), "b": np.maximum(p, r)}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+
+def _pivots(rows: DataFrame, n: int) -> DataFrame:
+    """(s, seed, p, pn, ppos): n members of each region as document pivots, the smallest of n seeded hashes: the same documents in the regions they share."""
+    least = [F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("h"), F.lit(k).alias("seed"), "rid", "n", "pos")).alias(f"p{k}") for k in range(n)]
+    one = rows.groupBy("s").agg(*least).select("s", F.explode(F.array(*[f"p{k}" for k in range(n)])).alias("p"))
+    return one.select("s", "p.seed", F.col("p.rid").alias("p"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+
+
+def _stars(rows: DataFrame, pivot: DataFrame) -> DataFrame:
+    """(a, b) with a < b: pivots and the members of their regions; of the first pivot all, so that windows know their distance, of others those that fit."""
+    own = rows.select("s", "rid", "n", "pos").join(pivot, "s").where("rid <> p")
+    own = own.withColumnsRenamed({"rid": "xrid", "n": "xn", "pos": "xpos", "pn": "yn", "ppos": "ypos"}).where((F.col("seed") == 0) | _fits("x", "y"))
+    return own.select(F.least("xrid", "p").alias("a"), F.greatest("xrid", "p").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 32) -> DataFrame:
     """(rid, id, n_shingles, component_id, keep) of each row of docs.
 
@@ -262,35 +310,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = points.where(F.size("frequent") > 0).select("rid", "n", (F.length("rare") / 8).cast("int").alias("from"), F.posexplode("frequent").alias("k", "s"))
     held = written(held.select("s", "rid", "n", (F.col("from") + F.col("k")).alias("pos")), "jaccard-held")
-    pivot = held.groupBy("s").agg(F.min(F.struct("rid", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivot = written(pivot.select("s", F.col("p.rid").alias("p"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "jaccard-pivots")
-    around = held.join(pivot, "s").where("rid <> p")
-    star = around.select(F.col("p").alias("a"), F.col("rid").alias("b"))
-
-    pairs = written(rare_pairs.unionByName(star).distinct(), "jaccard-pairs")
+    pivot = written(_pivots(held, PIVOTS), "jaccard-pivots")
+    pairs = written(rare_pairs.unionByName(_stars(held, pivot)).distinct(), "jaccard-pairs")
     measured = _measure(pairs, points, docs)
-    links = measured.where("linked").select("a", "b")
-    parts = components(links)
-
-    label = F.coalesce("component", "rid")
-    named = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
-    known = measured.select(F.col("a").alias("p"), F.col("b").alias("rid"), "lo", "hi")
-    inside = held.join(pivot, "s").join(named, F.col("rid") == F.col("node"), "left").join(known, ["p", "rid"], "left")
+    parts = components(measured.where("linked").select("a", "b"))
+    known = measured.select(F.col("a").alias("p"), F.col("b").alias("rid"), "lo", "hi").unionByName(measured.select(F.col("b").alias("p"), F.col("a").alias("rid"), "lo", "hi"))
+    first = pivot.where("seed = 0").select("s", "p")
+    bounded = held.join(first, "s").join(known, ["p", "rid"], "left")
     own = F.col("rid") == F.col("p")
-    inside = inside.select("s", "rid", "n", "pos", label.alias("label"), F.when(own, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"))
-    inside = written(inside, "jaccard-inside")
-    several = inside.groupBy("s", "label").count().groupBy("s").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major")).where("labels > 1").select("s", "major")
-    inside = inside.join(written(several, "jaccard-several"), "s")
-    x = inside.where("label <> major").select("s", *[F.col(c).alias(f"x{c}") for c in ("rid", "n", "pos", "label", "lo", "hi")])
-    y = inside.select("s", "major", *[F.col(c).alias(f"y{c}") for c in ("rid", "n", "pos", "label", "lo", "hi")])
-    window = (F.col("xlo") - F.col("yhi") <= 0.2 + 1e-9) & (F.col("ylo") - F.col("xhi") <= 0.2 + 1e-9)
-    once = (F.col("ylabel") == F.col("major")) | (F.col("xrid") < F.col("yrid"))
-    cross = x.join(y, (x.s == y.s) & (F.col("xlabel") != F.col("ylabel")) & once & _fits("x", "y") & window)
-    cross = cross.select(F.least("xrid", "yrid").alias("a"), F.greatest("xrid", "yrid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    bounded = bounded.select("s", "rid", "n", "pos", F.when(own, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"))
+    bounded = written(bounded, "jaccard-bounded")
+
+    def unsettled():
+        """Rows of regions that hold several components, with their component and the region's largest."""
+        named = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+        inside = written(bounded.join(named, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component"), "jaccard-inside")
+        several = inside.groupBy("s", "label").count().groupBy("s").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major")).where("labels > 1").select("s", "major")
+        return inside.join(written(several, "jaccard-several"), "s")
+
+    def merged(new: DataFrame) -> DataFrame:
+        links = _measure(new, points, docs).where("linked").select("a", "b")
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    for _ in range(ROUNDS):
+        inside = unsettled()
+        star = written(_stars(inside, _pivots(inside.where("label <> major"), PIVOTS)).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-star")
+        if star.isEmpty():
+            break
+        parts = merged(star)
+        pairs = pairs.unionByName(star)
+    inside = unsettled()
+    size = inside.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    rows = inside.join(written(size, "jaccard-chunks"), "s").join(points.select("rid", "sketch"), "rid").withColumn("asks", F.lit(False))
+    asks = rows.where("label <> major").withColumns({"asks": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
+    cross = rows.drop("chunks").groupBy("s", "chunk").applyInPandas(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     cross = written(cross, "jaccard-cross")
     if not cross.isEmpty():
-        more = _measure(cross, points, docs).where("linked").select("a", "b")
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        parts = merged(cross)
 
     reach = written(members.join(parts, F.col("point") == F.col("node"), "left").select("rid", "id", "n", F.coalesce("component", "point").alias("c")), "jaccard-reach")
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("low")
