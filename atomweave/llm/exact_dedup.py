@@ -74,7 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     staged.write.parquet(path)
     staged = spark.read.schema(staged.schema).parquet(path)
     narrow = staged.select("__rid", "__id", "__digest")
-    state = _state(path, narrow.schema, spark, files_per_batch)
+    state = written(_state(path, narrow.schema, spark, files_per_batch), "dedup-last")  # a table, so that a hot digest's rows can be split in the join
     members = written(narrow.join(state, "__digest").select("__rid", "__id", "__digest", "best", "locator", "n"), "dedup-members")
 
     hits = members.where("__rid != locator").select("__rid", "locator")
