@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import BEYOND, PieceEncoder
-from .common import lean, partitions, shared_path, small_batches, text_slices
+from .common import lean, partitions, shared_path, text_slices
 
 MAGIC = b"ADAC0001"
 BLOCK = 512
@@ -166,7 +166,7 @@ class LibraryEncoder(PieceEncoder):
         return [ids[p] for p in pieces]
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 4_000_000, n: int | None = None, cache: int = 250_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, tokens_per_file: int = 4_000_000, n: int | None = None, cache: int = 400_000) -> DataFrame:
     """Writes the files into folder and returns their manifest (file_no, part_no, path, n_docs, n_tokens), read back from it.
 
     Null texts count as empty: the end id alone. Rows with the same id lie beside each other, rows with a null id first.
@@ -195,7 +195,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
         for b in batches:
             own = b.column(0).to_pylist()
-            for i, j, texts in text_slices(b.column(1)):
+            for i, j, texts in text_slices(b.column(1), 8_000_000):
                 for d, x in zip(own[i:j], encode(texts), strict=True):
                     doc_ids.append(d)
                     ids.append(x + end)
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if ids:
             yield flush()
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
     rows = rows.repartitionByRange(n or partitions(spark), F.col("d").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"))
     manifest = rows.mapInArrow(lean(run), "part_no long, file_no long, path string, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
