@@ -1,9 +1,9 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word-shape features.
 
 The field is trained on a small labelled table (samples() below, generated from a seed) by gradient ascent of the
-conditional log-likelihood, and decoded by Viterbi in numpy batches. It reads windows of words around words that hold a digit
-or an @; a text without such words has no spans. Its labels are those of the base kinds where their form is loose (a phone
-number without its plus sign, an address written out with "at" and "dot") and national id numbers.
+conditional log-likelihood, and decoded by Viterbi in numpy batches. It reads every line of the whole text, each as one
+sequence. Its labels are those of the base kinds where their form is loose (a phone number without its plus sign, an address
+written out with "at" and "dot") and national id numbers.
 
 Base spans always stay; a span of the field is added where it overlaps none of them.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ HINT = re.compile(r"[0-9@]")
 #: Labels of the field: O, then begin and inside of each kind.
 EXTRA = ("email", "phone", "national_id")
 LABELS = ["O", *(f"{p}-{k}" for k in EXTRA for p in "BI")]
-WINDOW = 3
+#: Fixed value: places of stretches decoded at once, but for a longer stretch.
+CELLS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -70,6 +72,10 @@ UP, LOW, NUM = re.compile(r"[A-Z]"), re.compile(r"[a-z]"), re.compile(r"[0-9]")
 CUES = ("at", "dot", "phone", "tel", "call", "ssn", "social", "security", "email", "mail", "mobile", "fax", "com", "org", "net", "insurance")
 
 
+#: Every value of shape(), and what features() puts beside the ends of a line.
+SHAPES = {"^2", "^1", "$1", "$2", "o", *"()+-./@_#:,", *(f"d{n}" for n in range(1, 13)), *(f"w={c}" for c in CUES), *(a + b for a in ("X", "Xx", "x") for b in "13n")}
+
+
 @lru_cache(maxsize=200_000)
 def shape(word: str) -> str:
     """What the field sees of a word: a cue itself, digits by their count, letters by case and size class, others themselves."""
@@ -143,51 +149,117 @@ class CRF:
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.index, self.move, self.start = index, move, start
         self.emit = np.vstack([emit, np.zeros((1, emit.shape[1]))])
-        self.cache: dict[tuple, np.ndarray] = {}
-
-    def scores(self, shapes: list[str]) -> np.ndarray:
-        """Of each place and label; kept by the five shapes that decide it."""
-        s = ("^2", "^1", *shapes, "$1", "$2")
-        out = np.empty((len(shapes), len(LABELS)))
-        for i in range(len(shapes)):
-            key = s[i : i + 5]
-            v = self.cache.get(key)
-            if v is None:
-                if len(self.cache) > 100_000:
-                    self.cache.clear()
-                a, b, c, d, e = key
-                names = (f"0{c}", f"-1{b}", f"+1{d}", f"-2{a}", f"+2{e}", f"-1{b}|0{c}", f"0{c}|+1{d}", f"-1{b}|+1{d}")
-                v = self.cache[key] = self.emit[[self.index.get(n, -1) for n in names]].sum(0)
-            out[i] = v
+        self.held = self.words = None
+
+    def tables(self) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the shapes, and the weights of a shape two before, of one two after, and of the three around a place by their ids."""
+        if self.held is None:
+            names = sorted(SHAPES)
+            ids = {x: i for i, x in enumerate(names)}
+            of = lambda form: self.emit[[self.index.get(form(x), -1) for x in names]]
+            pair = lambda form: self.emit[[self.index.get(form(x, y), -1) for x in names for y in names]].reshape(len(names), len(names), -1)
+            around = of(lambda x: f"-1{x}")[:, None, None] + of(lambda x: f"0{x}")[None, :, None] + of(lambda x: f"+1{x}")[None, None]
+            around = around + pair(lambda x, y: f"-1{x}|0{y}")[:, :, None] + pair(lambda x, y: f"0{x}|+1{y}")[None] + pair(lambda x, y: f"-1{x}|+1{y}")[:, None]
+            self.held = ids, of(lambda x: f"-2{x}"), of(lambda x: f"+2{x}"), around.reshape(len(names) ** 3, -1)
+        return self.held
+
+    def codes(self) -> Codes:
+        """Ids of the shapes of words, kept."""
+        if self.words is None:
+            self.words = Codes(self.tables()[0])
+        return self.words
+
+    def scores(self, flat: np.ndarray) -> np.ndarray:
+        """Of each place and label, of ids of shapes; nothing for the two places at either end."""
+        ids, before, after, around = self.tables()
+        out = np.zeros((len(flat), len(LABELS)))
+        if len(flat) > 4:
+            out[2:-2] = around[(flat[1:-3] * len(ids) + flat[2:-2]) * len(ids) + flat[3:-1]]
+            out[2:-2] += before[flat[:-4]]
+            out[2:-2] += after[flat[4:]]
         return out
 
-    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
-        """Best labels of each sequence of shapes, all sequences of about one length at a time."""
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        out: list[list[int]] = [[]] * len(sequences)
-        for at in range(0, len(order), 512):
-            some = order[at : at + 512]
-            sizes = np.array([len(sequences[i]) for i in some])
-            e = np.zeros((len(some), sizes.max(), len(LABELS)))
-            for k, i in enumerate(some):
-                e[k, : sizes[k]] = self.scores(sequences[i])
-            best = e[:, 0] + self.start
-            back = np.zeros(e.shape, np.int8)
-            for t in range(1, e.shape[1]):
-                step = best[:, :, None] + self.move
-                back[:, t] = step.argmax(1)
-                best = np.where((t < sizes)[:, None], step.max(1) + e[:, t], best)
-            last = best.argmax(1)
-            paths = np.zeros(e.shape[:2], np.int8)
-            rows = np.arange(len(some))
-            for t in range(e.shape[1] - 1, -1, -1):
-                paths[:, t] = last
-                if t:
-                    last = np.where(t < sizes, back[rows, t, last], last)
-            for k, i in enumerate(some):
-                out[i] = paths[k, : sizes[k]].tolist()
+    def labels(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best labels of sequences that follow each other, each with its two shapes of padding at either end, which get O.
+
+        Viterbi runs where a label beside O may pay. A stretch of other labels in place of O gains at most the sum of bounds of
+        its places; a place is O for sure where no stretch through it reaches zero. The labels are those of whole sequences.
+        """
+        e, out = self.scores(flat), np.zeros(len(flat), np.int8)
+        first = np.cumsum(sizes + 4) - sizes - 2
+        first, last = first[sizes > 0], (first + sizes - 1)[sizes > 0]
+        into = self.move.max(0) - self.move[0, 0]
+        gain = e[:, 1:] - e[:, :1]
+        bound = (gain + into[1:]).max(1)
+        bound[first] = np.maximum(bound[first], (gain[first] + (self.start - self.start[0])[1:]).max(1))
+        leave = max(0.0, (self.move[1:, 0] - self.move[0, 0]).max())
+        inside = np.ones(len(flat), bool)
+        pad = np.cumsum(sizes + 4)
+        for k in (pad - sizes - 4, pad - sizes - 3, pad - 2, pad - 1):
+            inside[k] = False
+        bound[~inside] = -1e3  # no stretch goes on into another sequence
+        total = np.cumsum(bound)
+        most = np.maximum.accumulate(total[::-1])[::-1] - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        open_ = inside & (most + leave > -1e-3)
+        edge = np.diff(np.concatenate([[0], open_.view(np.int8), [0]]))
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, ends = np.isin(lo, first), np.isin(hi - 1, last)
+        order = np.argsort(hi - lo, kind="stable")
+        at = 0
+        while at < len(order):
+            long = (hi - lo)[order[at:]]
+            to = at + max(1, int(np.searchsorted(long * np.arange(1, len(long) + 1), CELLS, "right")))
+            some, at = order[at:to], to
+            size = (hi - lo)[some]
+            step = np.arange(size[-1])
+            best = self.forward(e[lo[some, None] + np.minimum(step, size[:, None] - 1)], size, np.where(starts[some, None], self.start, self.move[0]))
+            paths = self.backward(best, size, (best[:, -1] + np.where(ends[some, None], 0, self.move[:, 0])).argmax(1))
+            own = step < size[:, None]
+            out[(lo[some, None] + step)[own]] = paths[own]
         return out
 
+    def forward(self, e: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Scores of the best path to each label of each place of padded sequences, shortest first; past its end a sequence keeps its last."""
+        best = np.empty_like(e)
+        best[:, 0] = now = e[:, 0] + start
+        for t in range(1, e.shape[1]):
+            step = (now.T[:, :, None] + self.move[:, None, :]).max(0) + e[:, t]
+            now = step if t < sizes[0] else np.where((t < sizes)[:, None], step, now)
+            best[:, t] = now
+        return best
+
+    def backward(self, best: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The labels of the best paths that end in last."""
+        paths = np.empty(best.shape[:2], np.int8)
+        for t in range(best.shape[1] - 1, -1, -1):
+            paths[:, t] = last
+            if t:
+                last = np.where(t < sizes, (best[:, t - 1] + self.move.T[last]).argmax(1), last)
+        return paths
+
+    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
+        """Best labels of each sequence of shapes."""
+        ids, sizes = self.tables()[0], np.array([len(s) for s in sequences], np.int64)
+        flat = np.fromiter((ids[x] for s in sequences for x in ("^2", "^1", *s, "$1", "$2")), np.int64)
+        out = self.labels(flat, sizes)
+        return [out[b - n - 2 : b - 2].tolist() for n, b in zip(sizes, np.cumsum(sizes + 4), strict=True)]
+
+
+class Codes(dict):
+    """Ids of the shapes of words, by word; ends of lines are words of their own."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+        self.ends = {x: ids[x] for x in ("^2", "^1", "$1", "$2")}
+        self.update(self.ends)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+            self.update(self.ends)
+        v = self[word] = self.ids[shape(word)]
+        return v
+
 
 def train(table: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.5, l2: float = 1e-3) -> CRF:
     """Maximum conditional likelihood by Adam over the whole table."""
@@ -247,74 +319,50 @@ def model() -> CRF:
     return train(samples())
 
 
-def windows(text: str) -> list[tuple[list[str], list[int], list[int]]]:
-    """(words, starts, ends) of runs of words around words with a digit or an @: three to either side, within a line."""
-    out = []
-    for hint in _runs(text):
-        lo, hi = hint
-        found = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, lo, hi)]
-        if found:
-            out.append(tuple(map(list, zip(*found, strict=True))))
-    return out
-
-
-def _runs(text: str):
-    """Spans of text of up to three chunks before and after each chunk with a digit or @; those that touch are one."""
-    start = end = -1
-    at = 0
-    while (m := HINT.search(text, at)) is not None:
-        lo, hi = m.start(), m.end()
-        for _ in range(WINDOW + 1):  # the chunk itself, then those before it
-            while lo > 0 and not text[lo - 1].isspace():
-                lo -= 1
-            own = lo
-            while lo > 0 and text[lo - 1] in " \t":
-                lo -= 1
-            if lo == 0 or text[lo - 1].isspace():
-                break
-        lo = own
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        at = hi
-        for _ in range(WINDOW):
-            k = hi
-            while k < len(text) and text[k] in " \t":
-                k += 1
-            if k == hi or k >= len(text) or text[k].isspace():
-                break
-            while k < len(text) and not text[k].isspace():
-                k += 1
-            hi = k
-        if start >= 0 and lo <= end:
-            end = max(end, hi)
-        else:
-            if start >= 0:
-                yield start, end
-            start, end = lo, hi
-    if start >= 0:
-        yield start, end
+#: What a stretch must hold to be of its kind: digits, or an address with its at and dot.
+FORM = {"email": re.compile(r"(?is)(?:@|\bat\b).+(?:\.|\bdot\b)"), "phone": NUM, "national_id": NUM}
+
+
+def _stretches(line: str, path: list[int]):
+    """(start, end, kind) of the runs of at least three words of one kind in a line's labels that hold what the kind must."""
+    places = [m.span() for m in WORD.finditer(line)]
+    k = 0
+    while k < len(path):
+        j = k + 1
+        if path[k] % 2:  # a begin
+            while j < len(path) and path[j] == path[k] + 1:
+                j += 1
+            a, b, kind = places[k][0], places[j - 1][1], LABELS[path[k]][2:]
+            if j - k > 2 and FORM[kind].search(line, a, b):
+                yield a, b, kind
+        k = j
 
 
 def find(texts: list[str], crf: CRF | None = None) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """(base spans, spans the field adds) of each text."""
     crf = crf or model()
     base = [base_spans(t) for t in texts]
-    held = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
-    paths = crf.decode([[shape(x) for x in w[0]] for _, w in held])
+    lines = [t.splitlines(keepends=True) for t in texts]
+    words = [WORD.findall(line) for own in lines for line in own]
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = chain.from_iterable(("^2", "^1", *w, "$1", "$2") for w in words)
+    path = crf.labels(np.fromiter(map(crf.codes().__getitem__, codes), np.int64, sizes.sum() + 4 * len(sizes)), sizes)
+    upto = np.cumsum(sizes + 4)
+    hit = np.zeros(len(sizes), bool)
+    hit[np.searchsorted(upto, np.flatnonzero(path), "right")] = True
     more: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, (words, starts, ends)), path in zip(held, paths, strict=True):
-        k = 0
-        while k < len(path):
-            if path[k] and path[k] % 2:  # a begin
-                j = k + 1
-                while j < len(path) and path[j] == path[k] + 1:
-                    j += 1
-                a, b, kind = starts[k], ends[j - 1], LABELS[path[k]][2:]
-                if j - k > 2 and all(b <= s or e <= a for s, e, _ in base[i]):
-                    more[i].append((a, b, kind))
-                k = j
-            else:
-                k += 1
+    n = 0
+    for i, own in enumerate(lines):
+        if not hit[n : n + len(own)].any():
+            n += len(own)
+            continue
+        at = 0
+        for line in own:
+            if hit[n]:
+                some = path[upto[n] - sizes[n] - 2 : upto[n] - 2].tolist()
+                more[i] += [(at + a, at + b, k) for a, b, k in _stretches(line, some) if all(at + b <= s or e <= at + a for s, e, _ in base[i])]
+            at += len(line)
+            n += 1
     return list(zip(base, more, strict=True))
 
 
@@ -332,7 +380,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     import pyarrow as pa
 
     crf = model()  # trained on the driver, a few thousand weights
-    crf.cache.clear()
+    crf.held = crf.words = None  # made again by each worker
 
     def run(batches):
         for b in batches:

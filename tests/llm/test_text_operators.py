@@ -219,6 +219,31 @@ def test_pii_base_and_field(spark):
     assert pii.pii_report(docs(spark, [])).count() == 0
 
 
+def test_pii_field_reads_whole_lines(spark):
+    far = "la mi no " * 40
+    texts = ["write to alice at example dot com", f"{far}alice at example dot com {far}", f"{far}\n\nalice at example dot com\n{far}7", "", "\n", "HEA ONONAT TO THE ANOR ERONNTEN ONNT " * 9]
+    found = [[t[a:b] for a, b, _ in more] for t, (_, more) in zip(texts, pii.find(texts), strict=True)]
+    assert found == [["alice at example dot com"]] * 3 + [[]] * 3
+    assert [r.spans for r in pii.pii_report(docs(spark, texts[:1])).collect()] == ["email:9:33"]
+
+
+def test_pii_labels_are_those_of_whole_sequences():
+    crf, rng = pii.model(), random.Random(3)
+    words = [w for ws, _ in pii.samples(300, seed=5) for w in ws]
+    lines = [[pii.shape(rng.choice(words)) for _ in range(rng.choice([0, 1, 2, 5, 30, 900]))] for _ in range(60)] + [[pii.shape(w) for w in words]]
+    weight = lambda fs: sum(crf.emit[crf.index.get(f, -1)] for f in fs)
+    for shapes, got in zip(lines, crf.decode(lines), strict=True):
+        best, back = None, []
+        for fs in pii.features(shapes):
+            step = None if best is None else best[:, None] + crf.move
+            back.append(None if step is None else step.argmax(0))
+            best = (crf.start if step is None else step.max(0)) + weight(fs)
+        want = [int(best.argmax())] if shapes else []
+        for b in back[:0:-1]:
+            want.append(int(b[want[-1]]))
+        assert got == want[::-1]
+
+
 def test_license_scan(spark):
     texts = [*ODD, "Released under the MIT license. under the mit-license; Under The MIT License", "Licensed under the Apache License, Version 2.0. See CC BY-NC 4.0, cc by nc sa", "This work is licensed under the GNU General Public License, version 3", "permit mitre account", "All rights reserved."]
     n = len(ODD)
