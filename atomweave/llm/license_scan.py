@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over normalised words, in DataFrame functions alone.
 
 A rule is a regex over the words of a text (lower-cased, joined by single blanks), a keyword, a priority and a label. A text
-is tokenised only if it holds a keyword stem at all, and a rule's regex runs only on texts that hold its keyword as a word.
+is tokenised only if it holds a rule's keyword as a word, and a rule's regex runs only on texts that hold its keyword as a word.
 Detections are word intervals. One is suppressed when an interval of a higher priority, or of the same priority and a larger
 size or an earlier rule, contains it.
 
@@ -22,7 +22,8 @@ LICENSES = [
     ("mit-0", "mit", "mit (?:no attribution|0)"),
     ("x11", "x11", "x11"),
     ("isc", "isc", "isc"),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "bsd", "zero clause bsd"),
     ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3", "bsd", "(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
@@ -35,7 +36,7 @@ LICENSES = [
     ("gpl-3", "gpl", "(?:gnu )?gpl (?:version |v )?3(?: 0)?"),
     ("gpl-2", "gplv2", "gplv2"),
     ("gpl-3", "gplv3", "gplv3"),
-    ("lgpl-2", "lesser", "gnu (?:lesser|library) general public license (?:version |v )?2(?: 0)?"),
+    ("lgpl-2", "general", "gnu (?:lesser|library) general public license (?:version |v )?2(?: 0)?"),
     ("lgpl-2.1", "lesser", "gnu lesser general public license (?:version |v )?2 1"),
     ("lgpl-3", "lesser", "gnu lesser general public license (?:version |v )?3(?: 0)?"),
     ("lgpl-2.1", "lgpl", "lgpl (?:version |v )?2 1"),
@@ -135,7 +136,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words: zero counts, null places, empty label strings, score 0. Repeated rows and null ids are scanned each by itself.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stem = "(?i)licen[cs]|[^a-z]cc[^a-z]|^cc[^a-z]|[^a-z]spdx|cc0|gpl|reserved|public domain|proprietary"
+    letter = RAW_WORD.rstrip("+")
+    stem = f"(?i)(?<!{letter})(?:{'|'.join(sorted({r[1] for r in rules()}))})(?!{letter})"  # every rule and base phrase holds its keyword
     held = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     words = F.when(F.col("t").rlike(stem), F.translate(F.array_join(F.regexp_extract_all("t", F.lit(RAW_WORD), F.lit(0)), " "), UPPER, LOWER))
     held = held.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("j"))
