@@ -255,7 +255,7 @@ def fire(atoms: DataFrame, fired: DataFrame) -> DataFrame:
 
 
 def knn(vectors: DataFrame, k: int = 5, floor: float = 0.0) -> DataFrame:
-    """Edges of the k nearest by cosine of (id, vector), symmetric; vectors are asked in checked blocks by search_dense."""
+    """Edges of the k nearest by cosine of (id, vector), symmetric; vectors are asked in blocks by search_dense, whatever their number."""
     from .retrieval import search_dense
 
     hits = search_dense(vectors, vectors.select(F.col("id").alias("qid"), "vector"), k + 1).where((F.col("qid") != F.col("id")) & (F.col("cosine") > floor))

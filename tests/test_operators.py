@@ -244,3 +244,26 @@ def test_forgetting_table(spark):
 
     got = {r.ordering: (r.kept_first, r.mean_rank) for r in forgetting_table(spark).collect()}
     assert got == {"off": (0.23, 2.49), "on": (0.27, 3.74), "fsrs": (0.947, 1.05), "lru": (0.0, 8.26), "due first": (0.0, 10.0)}
+
+
+def test_dense_queries_in_blocks(spark):
+    rng = random.Random(8)
+    v = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(20_050)]
+    few = spark.createDataFrame(v[:3], "id long, vector array<float>")
+    many = spark.createDataFrame(v, "qid long, vector array<float>")
+    got = R.search_dense(few, many, 3)
+    unit = lambda x: [a / math.sqrt(sum(b * b for b in x)) for a in x]
+    want = {(q, i) for q, x in v for i, y in v[:3] if sum(a * b for a, b in zip(unit(x), unit(y))) > 0}
+    assert {(r.qid, r.id) for r in got.collect()} == want
+
+
+def test_knn_over_several_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(90)], "id long, vector array<float>")
+    rows = lambda: sorted((r.src, r.dst, round(r.w, 9)) for r in G.knn(e, 5).collect())
+    one = rows()
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert rows() == one and len(one) >= 450
+    assert R.search_dense(e, e.where("id < 0").withColumnRenamed("id", "qid"), 3).count() == 0
+    near = spark.createDataFrame([(0, [1.0, 2e-4]), (1, [1.0, 0.0])], "id long, vector array<double>")
+    assert R.search_dense(near, near.where("id = 1").withColumnRenamed("id", "qid"), 1, digits=6).first().id == 0
