@@ -72,7 +72,7 @@ def fused_scored(a: DataFrame, b: DataFrame, limit: int = 50) -> DataFrame:
 def recency_arm(hits: DataFrame, half: float = 14.0) -> DataFrame:
     """hits(qid, id, score, age_days) ordered again by score times a half-life of its age."""
     own = hits.withColumn("score", F.col("score") * decay.temporal(F.lit("atom"), F.col("age_days"), half))
-    return R.top_k(own.drop("rank"), 1_000_000, digits=9)
+    return R.ranked(own.drop("rank"), digits=9)
 
 
 #: The months by name.
@@ -116,7 +116,7 @@ def window_boost(hits: DataFrame, at: str = "at", window: str = "window", times:
     """hits(qid, id, score, at, window) ordered again with the scores of documents inside the question's window doubled."""
     inside = F.col(window).isNotNull() & F.to_date(at).between(F.col(f"{window}.start"), F.col(f"{window}.end"))
     own = hits.withColumn("score", F.when(inside, F.col("score") * times).otherwise(F.col("score")))
-    return R.top_k(own.drop("rank"), 1_000_000, digits=9)
+    return R.ranked(own.drop("rank"), digits=9)
 
 
 def activate(hits: DataFrame, edges: DataFrame, seeds: int = 5, hops: int = 2) -> DataFrame:

@@ -15,6 +15,7 @@ from atomweave.operators import links as L
 from atomweave.operators import recall as RC
 from atomweave.operators import retrieval as R
 from atomweave.operators import review as RV
+from atomweave.operators import search as SE
 from atomweave.operators import sets as ST
 from atomweave.operators import store as S
 
@@ -267,3 +268,11 @@ def test_knn_over_several_blocks(spark, monkeypatch):
     assert R.search_dense(e, e.where("id < 0").withColumnRenamed("id", "qid"), 3).count() == 0
     near = spark.createDataFrame([(0, [1.0, 2e-4]), (1, [1.0, 0.0])], "id long, vector array<double>")
     assert R.search_dense(near, near.where("id = 1").withColumnRenamed("id", "qid"), 1, digits=6).first().id == 0
+
+
+def test_window_boost_keeps_every_row(spark):
+    hits = spark.range(1_000_010).select(F.lit(1).alias("qid"), "id", F.lit(1.0).alias("score"), F.lit("2024-01-10").cast("date").alias("at"), F.lit(None).cast("struct<start:date,end:date>").alias("window"))
+    got = SE.window_boost(hits).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).first()
+    assert (got.n, got.last) == (1_000_010, 1_000_010)
+    aged = hits.select("qid", "id", "score", F.lit(3.0).alias("age_days"))
+    assert SE.recency_arm(aged).count() == 1_000_010
