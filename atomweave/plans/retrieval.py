@@ -149,8 +149,8 @@ def max_sim(spark, d):
     """Vectors cut into four token vectors of 16."""
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(c, i * 16 + 1, F.lit(16)))
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), cut(F.col("embedding")).alias("vectors"))
-    hits = R.search_late(e, e.where("id % 20 = 0").select(F.col("id").alias("qid"), "vectors"), 400)
-    return R.top_k(hits.drop("rank"), 5, digits=6).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    hits = R.search_late(e, e.where("id % 20 = 0").select(F.col("id").alias("qid"), "vectors"), 5, digits=6)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES["max_sim"] = max_sim

@@ -276,3 +276,13 @@ def test_window_boost_keeps_every_row(spark):
     assert (got.n, got.last) == (1_000_010, 1_000_010)
     aged = hits.select("qid", "id", "score", F.lit(3.0).alias("age_days"))
     assert SE.recency_arm(aged).count() == 1_000_010
+
+
+def test_max_sim_ties_after_rounding_go_by_id(spark, monkeypatch):
+    from atomweave.plans import retrieval as PR
+
+    rows = [(i, [1.0 if j % 16 == 0 else (1e-5 if i and j % 16 == 1 and i < 500 else 0.0) for j in range(64)]) for i in range(1000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(PR.V, "table", lambda *_: table.where("vec_id <= 5 or vec_id >= 500"))
+    got = PR.max_sim(spark, "").where("qid = 500").orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 1, 2, 3, 4]
