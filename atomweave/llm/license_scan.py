@@ -1,11 +1,13 @@
 """License scans: ordered signature rules over normalised words, in DataFrame functions alone.
 
-A rule is a regex over the words of a text (lower-cased, joined by single blanks), a keyword, a priority and a label. A text
-is tokenised only if it holds a rule's keyword as a word, and a rule's regex runs only on texts that hold its keyword as a word.
-Detections are word intervals. One is suppressed when an interval of a higher priority, or of the same priority and a larger
-size or an earlier rule, contains it.
-
-Everything happens inside the row: no shuffle, no join, no Python.
+A rule (license_rules.py) is a regex over the words of a text (lower-cased, joined by single blanks), its keywords, a priority,
+a score and a label. A text is tokenised only if it holds a keyword of any rule as a word, and a rule's regex runs only on texts
+that hold one of its own. Detections are word intervals. One is suppressed when an interval of a higher priority, or of the same
+priority and a larger size or an earlier rule, contains it.
+
+Everything happens inside the row: no shuffle, no join, no Python. The work is linear in the words and, but for sorting, in the
+detections: matches are marked in the text, so their places are read off the marked words, and the suppression runs over
+chunks of CHUNK detections, so that no growing array is copied at each step.
 """
 
 from __future__ import annotations
@@ -13,135 +15,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import RULES
+
 #: Phrases whose places every scan reports, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, keyword that must be a word of the text, name as a regex over blank-joined words.
-LICENSES = [
-    ("mit", "mit", "mit"),
-    ("mit-0", "mit", "mit (?:no attribution|0)"),
-    ("x11", "x11", "x11"),
-    ("isc", "isc", "isc"),
-    ("0bsd", "0bsd", "0bsd"),
-    ("0bsd", "bsd", "zero clause bsd"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3", "bsd", "(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("apache-1", "apache", "apache(?: software)?(?: license)? (?:version |v )?1(?: [01])?"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)? (?:version |v )?2(?: 0)?"),
-    ("gpl-1", "general", "gnu general public license (?:version |v )?1(?: 0)?"),
-    ("gpl-2", "general", "gnu general public license (?:version |v )?2(?: 0)?"),
-    ("gpl-3", "general", "gnu general public license (?:version |v )?3(?: 0)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl (?:version |v )?2(?: 0)?"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl (?:version |v )?3(?: 0)?"),
-    ("gpl-2", "gplv2", "gplv2"),
-    ("gpl-3", "gplv3", "gplv3"),
-    ("lgpl-2", "general", "gnu (?:lesser|library) general public license (?:version |v )?2(?: 0)?"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public license (?:version |v )?2 1"),
-    ("lgpl-3", "lesser", "gnu lesser general public license (?:version |v )?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl (?:version |v )?2 1"),
-    ("lgpl-3", "lgpl", "lgpl (?:version |v )?3(?: 0)?"),
-    ("agpl-3", "affero", "gnu affero general public license (?:version |v )?3(?: 0)?"),
-    ("agpl-3", "agpl", "agpl (?:version |v )?3(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public license (?:version |v )?1 1"),
-    ("mpl-2", "mozilla", "mozilla public license (?:version |v )?2(?: 0)?"),
-    ("mpl-2", "mpl", "mpl (?:version |v )?2(?: 0)?"),
-    ("epl-1", "eclipse", "eclipse public license (?:version |v )?1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public license (?:version |v )?2(?: 0)?"),
-    ("cddl-1", "cddl", "cddl(?: (?:version |v )?1(?: [01])?)?"),
-    ("cddl-1", "distribution", "common development and distribution license (?:version |v )?1(?: [01])?"),
-    ("eupl-1.2", "eupl", "eupl (?:version |v )?1 2"),
-    ("artistic-2", "artistic", "artistic license (?:version |v )?2(?: 0)?"),
-    ("boost-1", "boost", "boost software license(?: (?:version |v )?1(?: 0)?)?"),
-    ("zlib", "zlib", "zlib"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python-2", "python", "python software foundation license(?: (?:version |v )?2)?"),
-    ("openssl", "openssl", "openssl"),
-    ("ofl-1.1", "ofl", "(?:sil )?ofl (?:version |v )?1 1"),
-    ("ofl-1.1", "font", "(?:sil )?open font license(?: (?:version |v )?1 1)?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?"),
-    ("cc-by", "cc", "cc by(?! (?:nc|nd|sa))(?: [1-4] [0-9])?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [0-9])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [0-9])?"),
-    ("cc-by-nc", "cc", "cc by nc(?! (?:nd|sa))(?: [1-4] [0-9])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [0-9])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [0-9])?"),
-    ("cc-by", "attribution", "creative commons attribution(?! (?:noncommercial|noderivatives|noderivs|sharealike|non|no|share))"),
-    ("cc-by-sa", "attribution", "creative commons attribution share ?alike"),
-    ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:ative)?s"),
-    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial(?! (?:noderiv|no deriv|share))"),
-    ("cc-by-nc-sa", "attribution", "creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc-nd", "attribution", "creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("odbl-1", "odbl", "odbl(?: (?:version |v )?1(?: 0)?)?"),
-    ("odbl-1", "database", "open database license(?: (?:version |v )?1(?: 0)?)?"),
-]
-
-#: Priority (higher wins), score and frame of each form in which a name is a signature.
-FORMS = [
-    (5, 0.99, "spdx license identifier (?:{})"),
-    (4, 0.95, "(?:this work is |it is |is )?(?:licensed|distributed|released|made available|published) under(?: the terms of)?(?: the)?(?: an?)? (?:{})(?: licen[cs]e)?"),
-    (3, 0.85, "(?:licen[cs]ed?|rights|terms)(?: type| name)? (?:is |of |by )?(?:the )?(?:{})"),
-    (3, 0.85, "under(?: the)?(?: terms of)?(?: the)? (?:{}) licen[cs]e"),
-    (2, 0.8, "(?:{}) licen[cs]ed?"),
-]
-#: Signatures of their own: label, keyword, priority, score, regex.
-OWN = [
-    ("all-rights-reserved", "reserved", 1, 0.5, "all rights reserved"),
-    ("public-domain", "domain", 2, 0.8, "(?:released|dedicated|placed|is) (?:in|into|to) the public domain"),
-    ("proprietary", "proprietary", 1, 0.6, "(?:proprietary and confidential|confidential and proprietary)"),
-    ("apache-2", "apache", 4, 0.95, "apache license version 2(?: 0)?"),
-    ("cc-by-nc", "cc", 3, 0.85, "cc by nc(?! (?:nd|sa))(?: [1-4] [0-9])?"),
-]
-
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOP = max(f[0] for f in FORMS)
+TOP = 5
+#: Detections that the suppression takes at a time.
+CHUNK = 128
+KEPT = "array<struct<label:string,s:int,e:int,score:double>>"
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, score, regex) in order: every name in every form, then the signatures of their own."""
-    made = [(label, key, prio, score, form.format(name)) for prio, score, form in FORMS for label, key, name in LICENSES]
-    return sorted([*made, *OWN], key=lambda r: -r[2])
+    """(label, keywords, priority, score, regex) in order: highest priority first, then as listed."""
+    return sorted(RULES, key=lambda r: -r[2])
 
 
-def _table() -> Column:
-    fields = ("label", "key", "prio", "score", "re", "at")
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(fields, (*r[:4], f"(?<= )(?:{r[4]})(?= )", i), strict=True)]) for i, r in enumerate(rules())])
+def keywords() -> list[str]:
+    return sorted({k for r in RULES for k in r[1].split()})
+
+
+def gate() -> str:
+    """A regex that finds a keyword as a word, grouped by first letters so that most words fail at once."""
+    by: dict[str, list[str]] = {}
+    for k in keywords():
+        by.setdefault(k[0], []).append(k[1:])
+    letter = RAW_WORD.rstrip("+")
+    return f"(?i)(?<!{letter})(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in sorted(by.items()))})(?!{letter})"
 
 
-def _blanks(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" ")))
+def _table() -> Column:
+    def one(i: int, r: tuple[str, str, int, float, str]) -> Column:
+        keys = F.array(*[F.lit(k) for k in r[1].split()])
+        return F.struct(F.lit(r[0]).alias("label"), keys.alias("keys"), F.lit(r[2]).alias("prio"), F.lit(r[3]).alias("score"), F.lit(f"(?<= )(?:{r[4]})(?= )").alias("re"), F.lit(i).alias("at"))
+
+    return F.array(*[one(i, r) for i, r in enumerate(rules())])
 
 
 def _found(norm: Column, rule: Column) -> Column:
-    """Word intervals of a rule's matches, with what the suppression needs."""
-    pieces, hits = F.split(norm, rule["re"], -1), F.regexp_extract_all(norm, rule["re"], F.lit(0))
-    sizes = F.zip_with(F.transform(F.slice(pieces, F.lit(1), F.size(hits)), _blanks), F.transform(hits, _blanks), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
+    """Word intervals of a rule's matches, with what the suppression needs: the ends of each match are marked, then looked up among the words."""
+    words = F.split(F.regexp_replace(norm, rule["re"], F.lit("\x01$0\x02")), " ")
+    marks = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("i"), x.startswith("\x01").alias("s"), x.endswith("\x02").alias("e"))), lambda x: x["s"] | x["e"])
+
+    def intervals(m: Column) -> Column:
+        first, last = F.filter(m, lambda x: x["s"]), F.filter(m, lambda x: x["e"])
+        return F.zip_with(first, last, lambda a, b: F.struct((a["i"] - 1).alias("s"), (-b["i"]).alias("e"), (-rule["prio"]).alias("p"), rule["at"].alias("at"), rule["label"].alias("label"), rule["score"].alias("score")))
+
+    return F.when(F.rlike(norm, rule["re"]), F.get(F.transform(F.array(marks), intervals), 0)).otherwise(F.array().cast(FOUND))
 
-    def interval(_, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, s: a + s["p"] + s["h"])
-        own = F.element_at(sizes, i + 1)
-        start = before + own["p"] - 1
-        return F.struct(start.alias("s"), (-(start + own["h"] + 1)).alias("e"), (-rule["prio"]).alias("p"), rule["at"].alias("at"), rule["label"].alias("label"), rule["score"].alias("score"))
 
-    return F.transform(hits, interval)
+FOUND = "array<struct<s:int,e:int,p:int,at:int,label:string,score:double>>"
+
+
+def _standing(found: Column) -> Column:
+    """The detections that no other suppresses. In order of start, larger ends, priority and rule, an interval is contained in an earlier one if that ends no sooner."""
+    tops = [f"m{p}" for p in range(1, TOP + 1)]
+
+    def step(acc: Column, d: Column) -> Column:
+        end, prio = -d["e"], -d["p"]
+        covered = F.lit(False)
+        for p in range(1, TOP + 1):
+            covered = covered | ((prio <= p) & (acc[f"m{p}"] >= end))
+        own = F.array(F.struct(d["label"].alias("label"), d["s"].alias("s"), end.alias("e"), d["score"].alias("score")))
+        return F.struct(*[F.when(prio == p, F.greatest(acc[f"m{p}"], end)).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in range(1, TOP + 1)], F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], own)).alias("kept"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(*[acc[m].alias(m) for m in tops], F.array().cast(KEPT).alias("kept")), step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(*[x[m].alias(m) for m in tops], F.concat(acc["kept"], F.array(x["kept"])).alias("kept"))), 0)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK)), lambda c: F.slice(found, (c * CHUNK + 1).cast("int"), CHUNK))
+    state = F.struct(*[F.lit(-1).alias(m) for m in tops], F.array().cast(f"array<{KEPT}>").alias("kept"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(chunks, state, chunk, lambda a: a["kept"])))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of each row of docs.
 
-    spans: array of (label, start, end) in words, end exclusive, of the detections that stand. Null and empty texts have no
-    words: zero counts, null places, empty label strings, score 0. Repeated rows and null ids are scanned each by itself.
+    spans: array of (label, start, end) in words, end exclusive, of the detections that stand, by start. Null and empty texts
+    have no words: zero counts, null places, empty label strings, score 0. Repeated rows and null ids are scanned each by
+    itself. Of detections of one interval and priority the rule listed first stands. A long text is read whole, in time linear in
+    its words and detections. Other columns of docs are not read, whatever their names. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    letter = RAW_WORD.rstrip("+")
-    stem = f"(?i)(?<!{letter})(?:{'|'.join(sorted({r[1] for r in rules()}))})(?!{letter})"  # every rule and base phrase holds its keyword
-    held = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    words = F.when(F.col("t").rlike(stem), F.translate(F.array_join(F.regexp_extract_all("t", F.lit(RAW_WORD), F.lit(0)), " "), UPPER, LOWER))
-    held = held.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("j"))
-    held = held.withColumn("w", F.when(F.col("j").isNotNull() & (F.col("j") != ""), F.split("j", " ")))
+    held = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    words = F.when(F.col("t").rlike(gate()), F.translate(F.array_join(F.regexp_extract_all("t", F.lit(RAW_WORD), F.lit(0)), " "), UPPER, LOWER))
+    held = held.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
+    held = held.withColumn("w", F.split(F.trim("norm"), " "))
 
     def place(w: Column, i: Column) -> Column:
         out = None
@@ -154,28 +114,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out = F.when(here, value) if out is None else out.when(here, value)
         return out
 
-    base = F.coalesce(F.filter(F.transform("w", place), lambda x: x.isNotNull()), F.array().cast("array<struct<i:bigint,label:string>>"))
-    keys = F.array_intersect(F.col("w"), F.array(*[F.lit(k) for k in sorted({r[1] for r in rules()})]))
-    held = held.select("id", "n_words", "j", base.alias("base"), keys.alias("keys"))
-
-    norm = F.concat(F.lit(" "), F.col("j"), F.lit(" "))
-    picked = F.filter(_table(), lambda r: F.array_contains(F.col("keys"), r["key"]))
-    found = F.when(F.size("keys") > 0, F.array_sort(F.flatten(F.transform(picked, lambda r: _found(norm, r)))))
+    none = F.array().cast("array<struct<i:bigint,label:string>>")
+    said = F.lit(False)
+    for phrase in BASE:
+        said = said | F.contains("norm", F.lit(f" {phrase} "))
+    base = F.coalesce(F.when(said, F.filter(F.transform("w", place), lambda x: x.isNotNull())), none)
+    keys = F.array_intersect(F.col("w"), F.array(*[F.lit(k) for k in keywords()]))
+    held = held.select("id", "n_words", "norm", base.alias("base"), keys.alias("keys"))
+    picked = F.filter(_table(), lambda r: F.arrays_overlap(F.col("keys"), r["keys"]))
+    found = F.when(F.size("keys") > 0, F.array_sort(F.flatten(F.transform(picked, lambda r: _found(F.col("norm"), r)))))
     held = held.select("id", "n_words", "base", found.alias("found"))
-
-    # In order of start, then larger ends first, then priority: an interval is contained in an earlier one if that ends no sooner.
-    state = F.struct(*[F.lit(-1).alias(f"m{p}") for p in range(1, TOP + 1)], F.array().cast("array<struct<label:string,s:int,e:int,score:double>>").alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        end = -d["e"]
-        covered = F.lit(False)
-        for p in range(1, TOP + 1):
-            covered = covered | ((-d["p"] <= p) & (acc[f"m{p}"] >= end))
-        kept = F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(d["label"].alias("label"), d["s"].alias("s"), end.alias("e"), d["score"].alias("score")))))
-        return F.struct(*[F.when(-d["p"] == p, F.greatest(acc[f"m{p}"], end)).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in range(1, TOP + 1)], kept.alias("kept"))
-
-    spans = F.coalesce(F.aggregate("found", state, step, lambda a: a["kept"]), F.array().cast("array<struct<label:string,s:int,e:int,score:double>>"))
-    held = held.withColumn("spans", spans)
+    held = held.select("id", "n_words", "base", F.coalesce(_standing(F.col("found")), F.array().cast(KEPT)).alias("spans"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     names = F.transform("base", lambda x: x["label"])
     best = F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.9).otherwise(0.0))
