@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word-shape features.
 
-The field is trained on a small labelled table (samples() below, generated from a seed) by gradient ascent of the
-conditional log-likelihood, and decoded by Viterbi in numpy batches. It reads every line of the whole text, each as one
+The field is trained on a small labelled table (pii_table.py, written by hand) by gradient ascent of the conditional
+log-likelihood, and decoded by Viterbi in numpy batches. It reads every line of the whole text, each as one
 sequence. Its labels are those of the base kinds where their form is loose (a phone number without its plus sign, an address
 written out with "at" and "dot") and national id numbers.
 
@@ -19,15 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches, text_slices
+from .pii_table import lines
 
 #: The base kinds in order, with their patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: The same matches in linear time: a search starts only where a run starts (an email at its @, from which its start is read
+#: backwards), and runs are not given back.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IPS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARDS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+PHONES = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]")
-HINT = re.compile(r"[0-9@]")
+NUMBER = re.compile(r"[0-9]")
 
 #: Labels of the field: O, then begin and inside of each kind.
 EXTRA = ("email", "phone", "national_id")
@@ -46,28 +54,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str):
+    """(start, end) of the email pattern's matches: at each @, the longest run of address characters before it since the last match."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        head = text[done:at]
+        start = at - (len(head) - len(head.rstrip(LOCAL)))
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns in code points: leftmost non-overlapping matches of each kind, those that fail its test dropped."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    if HINT.search(text) is None:
+    out = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
+    if NUMBER.search(text) is None:
         return out
     if "." in text:
-        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-    for m in CARD.finditer(text):
-        if 14 <= m.end() - m.start():
+        out += [(m.start(), m.end(), "ip") for m in IPS.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    for m in CARDS.finditer(text):
+        if 14 <= m.end() - m.start() <= 37:  # 19 digits and 18 marks between them
             d = DIGIT.sub("", m[0])
             if 14 <= len(d) <= 19 and luhn(d):
                 out.append((m.start(), m.end(), "card"))
     if "+" in text:
-        out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(DIGIT.sub("", m[0])) <= 15]
+        out += [(m.start(), m.end(), "phone") for m in PHONES.finditer(text) if 10 <= len(DIGIT.sub("", m[0])) <= 15]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 # -- features ----------------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-UP, LOW, NUM = re.compile(r"[A-Z]"), re.compile(r"[a-z]"), re.compile(r"[0-9]")
 #: Words that the field may know by themselves, as they link or announce personal data.
 CUES = ("at", "dot", "phone", "tel", "call", "ssn", "social", "security", "email", "mail", "mobile", "fax", "com", "org", "net", "insurance")
 
@@ -95,53 +113,6 @@ def features(shapes: list[str]) -> list[list[str]]:
     return [[f"0{s[i]}", f"-1{s[i - 1]}", f"+1{s[i + 1]}", f"-2{s[i - 2]}", f"+2{s[i + 2]}", f"-1{s[i - 1]}|0{s[i]}", f"0{s[i]}|+1{s[i + 1]}", f"-1{s[i - 1]}|+1{s[i + 1]}"] for i in range(2, len(s) - 2)]
 
 
-# -- the labelled table ------------------------------------------------------------------------------------------------------
-def samples(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[str]]]:
-    """(words, labels) of n invented lines: personal data in loose forms, and as many lookalikes that are none."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *a: a[rng.integers(len(a))]
-    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    letters = lambda: "".join(pick(*"aeioulnrstdhmk") for _ in range(rng.integers(2, 9)))
-    out = []
-    for _ in range(n):
-        filler = lambda k: [(w.capitalize() if rng.random() < 0.15 else w) + pick("", "", "", ".", ",") for w in (letters() for _ in range(k))]
-        form = rng.integers(13)
-        kind, middle = "O", ""
-        if form == 0:
-            kind, middle = "email", f"{letters()} at {letters()} dot {pick('com', 'org', 'net')}"
-        elif form == 1:
-            kind, middle = "email", f"{letters()}.{letters()} at {letters()}{digits(1)} dot {pick('com', 'org', 'net')}"
-        elif form == 2:
-            kind, middle = "phone", f"({digits(3)}) {digits(3)}-{digits(4)}"
-        elif form == 3:
-            kind, middle = "phone", f"{digits(3)}-{digits(3)}-{digits(4)}"
-        elif form == 4:
-            kind, middle = "national_id", f"{digits(3)}-{digits(2)}-{digits(4)}"
-        elif form == 5:
-            middle = f"{digits(4)}-{digits(2)}-{digits(2)}"
-        elif form == 6:
-            middle = pick(f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}%", f"({digits(4)})", f"{digits(3)}-{digits(3)}")
-        elif form == 7:
-            middle = pick(digits(rng.integers(1, 20)), f"{digits(2)} {digits(3)} {digits(2)}", f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(2)}")
-        elif form == 8:
-            middle = pick(f"{letters()} at {digits(1)} dot", f"at {letters()} {digits(2)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{letters()}.{digits(2)}@{letters()}.com", f"@{letters()}")
-        elif form == 9:
-            middle = f"{letters()} = \"{''.join(pick(*'0123456789abcdef') for _ in range(40))}\""
-        elif form == 10:
-            middle = pick(f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)}-{digits(2)}-{digits(4)}")
-        elif form == 11:
-            middle = pick(f"{digits(1)}-{digits(1)}", f"{digits(3)}-{digits(2)}", f"{digits(4)}-{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}")
-        before, after = " ".join(filler(rng.integers(0, 6))), " ".join(filler(rng.integers(0, 6)))
-        words, labels = WORD.findall(before), []
-        labels = ["O"] * len(words)
-        own = WORD.findall(middle)
-        words += own
-        labels += ["O"] * len(own) if kind == "O" else [f"B-{kind}", *[f"I-{kind}"] * (len(own) - 1)]
-        rest = WORD.findall(after)
-        out.append((words + rest, labels + ["O"] * len(rest)))
-    return [x for x in out if x[0]]
-
-
 # -- the field ---------------------------------------------------------------------------------------------------------------
 class CRF:
     """Weights of (feature, label) and (label, label); index -1 (a feature unseen in training) weighs nothing."""
@@ -261,70 +232,83 @@ class Codes(dict):
         return v
 
 
-def train(table: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.5, l2: float = 1e-3) -> CRF:
-    """Maximum conditional likelihood by Adam over the whole table."""
-    rows = [(features([shape(w) for w in words]), [LABELS.index(x) for x in labels]) for words, labels in table]
-    index: dict[str, int] = {}
-    for fs, _ in rows:
-        for f in fs:
-            for x in f:
-                index.setdefault(x, len(index))
-    n, size, k, width = len(rows), max(len(y) for _, y in rows), len(LABELS), len(rows[0][0][0])
-    x = np.full((n, size, width), len(index))
-    y = np.zeros((n, size), int)
-    mask = np.zeros((n, size), bool)
-    for i, (fs, ys) in enumerate(rows):
-        x[i, : len(fs)] = [[index[v] for v in f] for f in fs]
-        y[i, : len(ys)] = ys
-        mask[i, : len(ys)] = True
-    sizes = mask.sum(1)
-    emit, move, start = np.zeros((len(index) + 1, k)), np.zeros((k, k)), np.zeros(k)
-    gold_e, gold_m, gold_s = np.zeros_like(emit), np.zeros_like(move), np.bincount(y[:, 0], minlength=k).astype(float)
-    for w in range(width):
-        np.add.at(gold_e, (x[..., w][mask], y[mask]), 1)
-    inner = mask[:, 1:]
-    np.add.at(gold_m, (y[:, :-1][inner], y[:, 1:][inner]), 1)
-    state = [(np.zeros_like(v), np.zeros_like(v)) for v in (emit, move, start)]
-    rows_i = np.arange(n)
-    for step in range(1, rounds + 1):
-        emit[-1] = 0
-        e = emit[x].sum(2)
-        alpha, beta = np.zeros((n, size, k)), np.zeros((n, size, k))
-        alpha[:, 0] = e[:, 0] + start
-        for t in range(1, size):
-            alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1) + e[:, t]
-        z = np.logaddexp.reduce(alpha[rows_i, sizes - 1], axis=1)
+class Training:
+    """The labelled rows as arrays: distinct feature rows of all places, padded places of each row, and what the true labels count."""
+
+    def __init__(self, table: list[tuple[list[str], list[str]]]):
+        rows = [(features([shape(w) for w in words]), [LABELS.index(x) for x in labels]) for words, labels in table if words]
+        self.index: dict[str, int] = {}
+        kinds: dict[tuple[int, ...], int] = {}
+        places = [[kinds.setdefault(tuple(self.index.setdefault(x, len(self.index)) for x in f), len(kinds)) for f in fs] for fs, _ in rows]
+        self.kinds, k = np.array(list(kinds)), len(LABELS)
+        self.sizes = np.array([len(y) for _, y in rows])
+        self.at, y = np.zeros((2, len(rows), self.sizes.max()), int)
+        for i, (own, (_, ys)) in enumerate(zip(places, rows, strict=True)):
+            self.at[i, : len(own)], y[i, : len(ys)] = own, ys
+        self.mask = np.arange(y.shape[1]) < self.sizes[:, None]
+        gold = np.bincount(self.at[self.mask] * k + y[self.mask], minlength=len(kinds) * k).reshape(-1, k).astype(float)
+        inner = self.mask[:, 1:]
+        move = np.bincount(y[:, :-1][inner] * k + y[:, 1:][inner], minlength=k * k).reshape(k, k).astype(float)
+        self.gold = self.spread(gold), move, np.bincount(y[:, 0], minlength=k).astype(float)
+
+    def spread(self, of_kinds: np.ndarray) -> np.ndarray:
+        """Sums over feature rows, by feature."""
+        width = self.kinds.shape[1]
+        return np.stack([np.bincount(self.kinds.ravel(), np.repeat(c, width), len(self.index)) for c in of_kinds.T], 1)
+
+    def likelihood(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray, l2: float = 0.0) -> tuple[float, list[np.ndarray]]:
+        """Mean conditional log-likelihood less the penalty, and its gradients; forward and backward in scaled probabilities."""
+        n, size, k = *self.at.shape, len(LABELS)
+        e = emit[self.kinds].sum(1)[self.at]
+        top = e.max(2, keepdims=True)
+        e = np.exp(e - top)
+        a, scale = np.exp(move), np.ones((size, n, 1))
+        alpha, beta = np.empty((size, n, k)), np.ones((size, n, k))
+        for t in range(size):
+            now = e[:, t] * (np.exp(start) if t == 0 else alpha[t - 1] @ a)
+            scale[t] = now.sum(1, keepdims=True)
+            alpha[t] = now / scale[t]
         for t in range(size - 2, -1, -1):
-            nxt = np.logaddexp.reduce(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where((t + 1 < sizes)[:, None], nxt, 0)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        ge, gm = gold_e.copy(), gold_m.copy()
-        for w in range(width):
-            np.subtract.at(ge, x[..., w][mask], p[mask])
+            back = (e[:, t + 1] * beta[t + 1] / scale[t + 1]) @ a.T
+            beta[t] = np.where((t + 1 < self.sizes)[:, None], back, 1)
+        p = (alpha * beta).transpose(1, 0, 2) * self.mask[..., None]
+        pairs = np.zeros((k, k))
         for t in range(1, size):
-            q = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            gm -= (q * (t < sizes)[:, None, None]).sum(0)
-        grads = [ge / n - l2 * emit, gm / n - l2 * move, (gold_s - p[:, 0].sum(0)) / n - l2 * start]
-        for i, (v, g) in enumerate(zip((emit, move, start), grads, strict=True)):
-            m1, m2 = state[i]
+            on = t < self.sizes
+            pairs += alpha[t - 1][on].T @ (e[on, t] * beta[t][on] / scale[t][on])
+        expected = np.stack([np.bincount(self.at[self.mask], c, len(self.kinds)) for c in p[self.mask].T], 1)
+        gold_e, gold_m, gold_s = self.gold
+        grads = [(gold_e - self.spread(expected)) / n - l2 * emit, (gold_m - pairs * a) / n - l2 * move, (gold_s - p[:, 0].sum(0)) / n - l2 * start]
+        total = (gold_e * emit).sum() + (gold_m * move).sum() + (gold_s * start).sum()
+        total -= ((np.log(scale[..., 0].T) + top[..., 0]) * self.mask).sum()
+        return total / n - l2 / 2 * sum((v * v).sum() for v in (emit, move, start)), grads
+
+
+def train(table: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> CRF:
+    """Maximum conditional likelihood by Adam over the whole table."""
+    rows = Training(table)
+    k = len(LABELS)
+    p = [np.zeros((len(rows.index), k)), np.zeros((k, k)), np.zeros(k)]
+    state = [(np.zeros_like(v), np.zeros_like(v)) for v in p]
+    for step in range(1, rounds + 1):
+        for v, g, (m1, m2) in zip(p, rows.likelihood(*p, l2)[1], state, strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
-            v += rate * 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    emit[-1] = 0
-    return CRF(index, emit[:-1], move, start)
+            v += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    return CRF(rows.index, *p)
 
 
 @lru_cache(maxsize=1)
 def model() -> CRF:
-    return train(samples())
+    return train(lines(WORD))
 
 
 #: What a stretch must hold to be of its kind: digits, or an address with its at and dot.
-FORM = {"email": re.compile(r"(?is)(?:@|\bat\b).+(?:\.|\bdot\b)"), "phone": NUM, "national_id": NUM}
+FORM = {"email": re.compile(r"(?is)(?:@|\bat\b).+(?:\.|\bdot\b)"), "phone": NUMBER, "national_id": NUMBER}
 
 
 def _stretches(line: str, path: list[int]):
-    """(start, end, kind) of the runs of at least three words of one kind in a line's labels that hold what the kind must."""
+    """(start, end, kind) of the runs of words of one kind in a line's labels that hold what the kind must."""
     places = [m.span() for m in WORD.finditer(line)]
     k = 0
     while k < len(path):
@@ -333,7 +317,7 @@ def _stretches(line: str, path: list[int]):
             while j < len(path) and path[j] == path[k] + 1:
                 j += 1
             a, b, kind = places[k][0], places[j - 1][1], LABELS[path[k]][2:]
-            if j - k > 2 and FORM[kind].search(line, a, b):
+            if FORM[kind].search(line, a, b):
                 yield a, b, kind
         k = j
 
@@ -375,7 +359,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id_col, n_email, n_ip, n_card, n_phone, base, spans) of each row of docs: counts of base spans, and both lists as text.
 
     A list is kind:start:end by start, then kind, joined by commas, in code points with the end exclusive. Null and empty
-    texts have no spans. Rows repeat as they do in docs; null ids stay null. One pass without a shuffle.
+    texts have no spans, an empty table gives no rows. Rows repeat as they do in docs; null ids stay null. Spans that start at
+    one place come in the order of the kinds. Long texts are read whole, in linear time. Other columns of docs are not read,
+    whatever their names. One pass without a shuffle.
     """
     import pyarrow as pa
 

@@ -206,11 +206,57 @@ def test_shingles():
     assert len(s("a b c d")) == 1 and len(s("a b c d e f")) == 2 and len(s(" \n")) == 0 and (s("A B C D E") == s("a\tb c  d e")).all() and len(s(None)) == 0
 
 
+def invented(n, seed):
+    """(words, labels) of n invented lines, drawn by rules that the labelled table knows nothing of: personal data in loose forms, and as many lookalikes that are none."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *a: a[rng.integers(len(a))]
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    letters = lambda: "".join(pick(*"aeioulnrstdhmk") for _ in range(rng.integers(2, 9)))
+    out = []
+    for _ in range(n):
+        filler = lambda k: [(w.capitalize() if rng.random() < 0.15 else w) + pick("", "", "", ".", ",") for w in (letters() for _ in range(k))]
+        form = rng.integers(13)
+        kind, middle = "O", ""
+        if form == 0:
+            kind, middle = "email", f"{letters()} at {letters()} dot {pick('com', 'org', 'net')}"
+        elif form == 1:
+            kind, middle = "email", f"{letters()}.{letters()} at {letters()}{digits(1)} dot {pick('com', 'org', 'net')}"
+        elif form == 2:
+            kind, middle = "phone", f"({digits(3)}) {digits(3)}-{digits(4)}"
+        elif form == 3:
+            kind, middle = "phone", f"{digits(3)}-{digits(3)}-{digits(4)}"
+        elif form == 4:
+            kind, middle = "national_id", f"{digits(3)}-{digits(2)}-{digits(4)}"
+        elif form == 5:
+            middle = f"{digits(4)}-{digits(2)}-{digits(2)}"
+        elif form == 6:
+            middle = pick(f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}%", f"({digits(4)})", f"{digits(3)}-{digits(3)}")
+        elif form == 7:
+            middle = pick(digits(rng.integers(1, 20)), f"{digits(2)} {digits(3)} {digits(2)}", f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(2)}")
+        elif form == 8:
+            middle = pick(f"{letters()} at {digits(1)} dot", f"at {letters()} {digits(2)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{letters()}.{digits(2)}@{letters()}.com", f"@{letters()}")
+        elif form == 9:
+            middle = f"{letters()} = \"{''.join(pick(*'0123456789abcdef') for _ in range(40))}\""
+        elif form == 10:
+            middle = pick(f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)}-{digits(2)}-{digits(4)}")
+        elif form == 11:
+            middle = pick(f"{digits(1)}-{digits(1)}", f"{digits(3)}-{digits(2)}", f"{digits(4)}-{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}")
+        before, after = " ".join(filler(rng.integers(0, 6))), " ".join(filler(rng.integers(0, 6)))
+        words, labels = pii.WORD.findall(before), []
+        labels = ["O"] * len(words)
+        own = pii.WORD.findall(middle)
+        words += own
+        labels += ["O"] * len(own) if kind == "O" else [f"B-{kind}", *[f"I-{kind}"] * (len(own) - 1)]
+        rest = pii.WORD.findall(after)
+        out.append((words + rest, labels + ["O"] * len(rest)))
+    return [x for x in out if x[0]]
+
+
 def test_pii_base_and_field(spark):
     text = "mail a.b@c.com, +1 (771) 555-1655 and 224.145.138.68 or 999.1.1.1; card 4111 1111 1111 1111 not 4111111111111112"
     base, more = pii.find([text])[0]
     assert [(text[a:b], k) for a, b, k in base] == [("a.b@c.com", "email"), ("+1 (771) 555-1655", "phone"), ("224.145.138.68", "ip"), ("4111 1111 1111 1111", "card")]
-    held_out = pii.samples(400, seed=77)
+    held_out = invented(400, 77)
     got = pii.model().decode([[pii.shape(w) for w in words] for words, _ in held_out])
     assert sum([pii.LABELS[i] for i in g] == y for g, (_, y) in zip(got, held_out, strict=True)) >= 0.95 * len(held_out)
     loose = pii.find(["my number is 123-45-6789 ok", "nothing here at all", "version 1.2.3 of 2024-01-02"])
@@ -220,6 +266,53 @@ def test_pii_base_and_field(spark):
     assert pii.pii_report(docs(spark, [])).count() == 0
 
 
+def test_pii_base_spans_equal_the_patterns():
+    """The linear searches against the fixed patterns, on random texts."""
+
+    def naive(t):
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        out = [(m.start(), m.end(), "email") for m in re.finditer(pii.EMAIL, t)]
+        out += [(m.start(), m.end(), "ip") for m in re.finditer(pii.IP, t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "card") for m in re.finditer(pii.CARD, t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        out += [(m.start(), m.end(), "phone") for m in re.finditer(pii.PHONE, t) if 10 <= len(digits(m)) <= 15]
+        return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+    rng = random.Random(12)
+    parts = ["@", "a", "b-c", ".", "..", "%", "é", " ", "  ", "-", "+", "(", ")", "1", "22", "256", "0001", "4111111111111111", "4111 1111-1111 1111", "+1 (202) 555-0147", "x@y.z", "a.b@c-d.ef", "10.0.0.1", "\n", "@@", ".com"]
+    found = 0
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == naive(t), t
+        found += len(naive(t))
+    assert found > 3000
+
+
+@pytest.mark.parametrize("run", ["1", "a", "1.", "a.", "@", "a@", "+1", "1 ", "-", "+1 ", "a@b", "1-"])
+def test_pii_long_runs(run):
+    """A megabyte of one run: seconds."""
+    began = time.time()
+    pii.find([run * (1_000_000 // len(run)) + " .", run * 200_000 + " @"])
+    assert time.time() - began < 20
+
+
+def test_pii_gradients_are_those_of_the_likelihood():
+    from atomweave.llm.pii_table import lines
+
+    rows = pii.Training(lines(pii.WORD, times=1)[:40])
+    rng = np.random.default_rng(2)
+    p = [rng.standard_normal((len(rows.index), len(pii.LABELS))) * 0.1, rng.standard_normal((len(pii.LABELS),) * 2) * 0.3, rng.standard_normal(len(pii.LABELS)) * 0.3]
+    grads = rows.likelihood(*p, l2=0.01)[1]
+    for v, g in zip(p, grads, strict=True):
+        for at in rng.integers(0, v.size, 12):
+            held = v.flat[at]
+            v.flat[at] = held + 1e-5
+            up = rows.likelihood(*p, l2=0.01)[0]
+            v.flat[at] = held - 1e-5
+            down = rows.likelihood(*p, l2=0.01)[0]
+            v.flat[at] = held
+            assert abs((up - down) / 2e-5 - g.flat[at]) < 1e-5
+
+
 def test_pii_field_reads_whole_lines(spark):
     far = "la mi no " * 40
     texts = ["write to alice at example dot com", f"{far}alice at example dot com {far}", f"{far}\n\nalice at example dot com\n{far}7", "", "\n", "HEA ONONAT TO THE ANOR ERONNTEN ONNT " * 9]
@@ -230,7 +323,7 @@ def test_pii_field_reads_whole_lines(spark):
 
 def test_pii_labels_are_those_of_whole_sequences():
     crf, rng = pii.model(), random.Random(3)
-    words = [w for ws, _ in pii.samples(300, seed=5) for w in ws]
+    words = [w for ws, _ in invented(300, 5) for w in ws]
     lines = [[pii.shape(rng.choice(words)) for _ in range(rng.choice([0, 1, 2, 5, 30, 900]))] for _ in range(60)] + [[pii.shape(w) for w in words]]
     weight = lambda fs: sum(crf.emit[crf.index.get(f, -1)] for f in fs)
     for shapes, got in zip(lines, crf.decode(lines), strict=True):
