@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from atomweave.llm import queries
 from atomweave.llm.components import components, forest
-from atomweave.llm.embedding_dedup import _unit, near_vectors, plan, tables_for
+from atomweave.llm.embedding_dedup import near_vectors, plan, tables_for, unit
 
 
 def brute(rows, threshold=0.93):
-    unit = [None if label is None else _unit(v) for _, v, label in rows]
+    def scaled(v):
+        if not v or None in v:
+            return None
+        x = unit(np.array([v], float))[0]
+        return x if np.isfinite(x).all() else None
+
+    own = [None if label is None else scaled(v) for _, v, label in rows]
     n, p = [0] * len(rows), list(range(len(rows)))
 
     def root(x):
@@ -25,7 +31,7 @@ def brute(rows, threshold=0.93):
 
     for a in range(len(rows)):
         for b in range(a):
-            if unit[a] is not None and unit[b] is not None and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold:
+            if own[a] is not None and own[b] is not None and rows[a][2] == rows[b][2] and len(own[a]) == len(own[b]) and own[a] @ own[b] >= threshold:
                 n[a] += 1
                 n[b] += 1
                 x, y = root(a), root(b)
@@ -59,11 +65,36 @@ def test_near_vectors(spark, block):
 
 
 def test_plan_meets_the_recall():
-    d, window, need = plan(0.93, 32, 0.997)
+    window, need = plan(0.93, 32, 0.997)
     rng = np.random.default_rng(1)
-    hits = (np.abs(rng.standard_normal((20_000, 32)) * d) <= window).sum(1)
+    hits = (np.abs(rng.standard_normal((20_000, 32)) * window) <= window).sum(1)
     assert (hits >= need).mean() >= 0.99
-    assert tables_for(100, 8192, 0.93, 0.997) == (0, 1) and tables_for(10**6, 8192, 0.93, 0.997)[1] > 4
+    assert tables_for(8192, 8192, 0.93, 0.997) == (0, 1) and tables_for(0, 8192, 0.93, 0.997) == (0, 1)
+    assert tables_for(8193, 8192, 0.93, 0.997)[0] == 1 and tables_for(10**6, 8192, 0.93, 0.997)[1] > 4
+
+
+def test_recall_beyond_a_block(spark):
+    """20,000 vectors of one label, with the block of production: found links against brute force, most of them close to the threshold."""
+    rng = np.random.default_rng(5)
+    n, dim = 20_000, 64
+    x = rng.standard_normal((n, dim))
+    for i in range(0, n, 2):  # a partner at a cosine of 0.93 to 0.96
+        u = x[i] / np.linalg.norm(x[i])
+        r = rng.standard_normal(dim)
+        r -= (r @ u) * u
+        c = rng.uniform(0.93, 0.96)
+        x[i + 1] = c * u + np.sqrt(1 - c * c) * r / np.linalg.norm(r)
+    x[10:40] = x[10]
+    u = unit(x)
+    want = np.zeros(n, int)
+    for i in range(0, n, 1000):
+        want[i : i + 1000] = (u[i : i + 1000] @ u.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = np.zeros(n, int)
+    for r in near_vectors(df).select("vec_id", "n_links").collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and want.sum() > 20_000
+    assert got.sum() >= 0.99 * want.sum()
 
 
 def test_components(spark):
