@@ -14,9 +14,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="atomweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -48,6 +50,32 @@ def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if small(ids, limit) else ids
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of df: each given name behind as many underscores as it takes to be none of df's, in any case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of one key that a join deals to one task, where it is salted.
+SALT_ROWS = 500
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, keys: DataFrame | None = None, rows: int = SALT_ROWS) -> DataFrame:
+    """left joined with right on key (one row a key in right): a key of more than so many rows in left has them dealt by a hash of by, and right's row goes with each part. keys: a cheaper table with left's keys."""
+    hot = (left if keys is None else keys).groupBy(key).count().where(F.col("count") > rows).select(key, F.ceil(F.col("count") / rows).cast("int").alias("salts"))
+    hot = sized(written(hot, "hot-keys"))
+    one = F.coalesce("salts", F.lit(1))
+    a = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), one).cast("int")).drop("salts")
+    b = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts")
+    return a.join(b, [key, "salt"]).drop("salt")
+
+
 def trim() -> None:
     """Gives memory that a Python worker no longer uses back to the machine: workers outlive tasks and share an executor's limit."""
     import ctypes

@@ -1,25 +1,30 @@
 """Jaccard join of word shingle sets in their metric space: pivots, Voronoi regions, triangle windows, recursion.
 
-Distance is 1 - Jaccard; two documents link at distance 0.2 or less (5 words a shingle, similarity 0.8).
-
-First level. Documents drawn from a corpus lie at distance 1 from each other, so document pivots would replicate every
-document everywhere. The pivots are the singleton sets {s} of shingles instead: a document of n shingles is at distance
-1 - 1/n from the pivots it holds and at distance 1 from all others, so its cell is decided by a fixed order of the pivots
-(rare shingles first) and its boundary window is the shortest run of its nearest pivots that any partner must meet: by
-|x n y| >= 0.8 max(|x|, |y|), the first n - ceil(0.8 n) + 1 of them. A pair is a candidate in a region only if the sizes of
-the sets and the places of the pivot in both leave room for the overlap.
-
-The order comes from counts of all shingles of all documents: those in more than rare documents are demoted by frequency
-class, so a region of any other pivot has at most rare members and is joined at once.
-
-Recursion. In the region of a frequent pivot some members become document pivots and the other members' distances to them are
-found. Members linked to a pivot form one component and need no further pairs. Where a region still holds several components,
-members outside the largest become pivots in turn. After that, members outside the largest component are a stated query set:
-blocks of their region compare them with the members of others that lie in their triangle window, where the difference of the distances to the first document pivot is
-at most 0.2 (bounds of it where the distance is not known exactly).
-
-Distances are tested by parity sketches first, whose Hamming distance never exceeds the symmetric difference, and the rest
-exactly on the full sets. Documents with equal sets are one point. Nothing is dropped at any step, so the join is exact.
+Distance is 1 - Jaccard, a metric; two documents link at distance 0.2 or less (5 words a shingle, similarity 0.8).
+
+Pivots and regions. Documents drawn from a corpus lie at distance 1 from each other, and at distance 1 from pivots drawn
+without regard to them, where windows would replicate every document everywhere. So each document brings landmarks: the
+first n - ceil(0.8 n) + 1 of its n shingles in one fixed order. Linked documents share a landmark. Among the documents that
+hold a landmark, the one of the smallest hash is its pivot: a document, the same for most landmarks of a group of copies. The
+region of a pivot is all documents that hold one of its landmarks, so a document without company is in no region, and linked
+documents share a region. Every document's exact distance to the pivots of its regions is found: one pair a document and
+pivot, never all pairs of a region. Documents within 0.2 of a pivot are one component with it.
+
+Recursion. A region whose documents are of one component already is done. Any other of more than REGION documents is split:
+PIVOTS of its documents outside the largest component become pivots, the distances of all its documents to them are found
+and link what they link, and the documents go to the Voronoi region of their nearest pivot, at distance d, and to the region
+of every pivot within d + 0.2. Of two linked documents let x be the one nearer to its own nearest pivot p: by the triangle
+inequality the other is at most d(x) + 0.2 from p, so it is in the region of p too. Regions split until they hold REGION
+documents or splitting no longer shrinks them (documents at equal distances from each other).
+
+Join. In what remains, documents of different components are compared where the triangle window of the region's pivot (their
+distances to it differ by at most 0.2) and their sizes allow a link; parity sketches, whose Hamming distance never exceeds
+the symmetric difference, reject most, and the rest is tested on the full sets. In a region that could not be split, the
+documents outside the largest component are a stated query set and meet the region in blocks.
+
+The order of shingles is by frequency class, then hash: shingles in more than rare documents come later, the more frequent
+the later. Any fixed order gives the same result; this one keeps regions small. Documents with equal sets are one point.
+Nothing is dropped at any step, so the join is exact.
 """
 
 from __future__ import annotations
@@ -28,15 +33,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, lean, partitions, sized, small_batches, text_slices, written
+from .common import SALT_ROWS, Shingler, fresh, lean, mix64, partitions, salted, sized, small_batches, text_slices, written
 from .components import components
 
-#: Frequent shingles the driver may hold and broadcast (8 bytes each and a class); beyond it only higher frequency classes are demoted.
+#: Shingles whose frequency class the driver reads and broadcasts, 16 bytes each (64 MB): the most frequent ones. A shingle
+#: beyond them is held by fewer documents than all shingles of the corpus divided by this number, which bounds its group.
 FREQUENT = 4_000_000
-#: Document pivots of a region in a round, and rounds before what is left is joined.
-PIVOTS, ROUNDS = 4, 1
-#: Rows of a region that the rows of smaller components are compared with in one group.
+#: New pivots of a region that is split, and documents of a region that is not.
+PIVOTS, REGION = 8, 128
+#: Rows of a region that could not be split with which the rows of smaller components are compared in one group.
 BLOCK = 256
+#: The distance of a link, and what floating point may add to it.
+NEAR = 0.2 + 1e-9
 
 
 def _bits(docs: DataFrame) -> int:
@@ -107,18 +115,18 @@ def apart(a: bytes, b: bytes) -> int:
     return int(POP[x ^ y].sum())
 
 
-SETS = "rid long, id long, id0 long, th long, n int, sig binary, sketch binary, rare binary, frequent array<long>"
+SETS = "rid long, id long, id0 long, th long, n int, sig binary, sketch binary, rare binary, frequent array<struct<s:long,salts:int>>"
 
 
-def _sets(bits: int, keys, levels):
-    """Rows of SETS: rare is the document's window among rare pivots (64-bit hashes in order), frequent what follows it."""
+def _sets(bits: int, keys, levels, rare_rows: int):
+    """Rows of SETS: rare holds the document's landmarks among rare shingles (64-bit hashes), frequent those that follow, each with the parts its documents are dealt to."""
     import pyarrow as pa
     import xxhash
 
     def run(batches):
         shingles, keys_, levels_ = Shingler(), keys.value, levels.value
         for b in batches:
-            n, sig, sk, rare, freq = [], [], [], [], []
+            n, sig, sk, rare, freq, parts, ends = [], [], [], [], [], [], [0]
             for s in (shingles(t) for _, _, texts in text_slices(b.column(4)) for t in texts):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -129,83 +137,56 @@ def _sets(bits: int, keys, levels):
                     at = np.minimum(np.searchsorted(keys_, k), len(keys_) - 1)
                     hot = keys_[at] == k
                     own = s[~hot][:p]
-                    rest = s[hot][np.lexsort((s[hot], levels_[at[hot]]))][: p - len(own)] if len(own) < p else s[:0]
+                    order = np.lexsort((s[hot], levels_[at[hot]]))[: max(0, p - len(own))]
+                    freq.append(s[hot][order].view(np.int64))
+                    parts.append(np.maximum(1, (rare_rows << np.minimum(levels_[at[hot]][order], 40)) // SALT_ROWS))
                 else:
-                    own, rest = s[:p], s[:0]
+                    own = s[:p]
                 rare.append(own.tobytes())
-                freq.append(rest.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sk, pa.binary()), pa.array(rare, pa.binary()), pa.array(freq, pa.list_(pa.int64()))], ["rid", "id", "id0", "th", "n", "sig", "sketch", "rare", "frequent"])
+                ends.append(ends[-1] + (len(freq[-1]) if freq and len(keys_) and p else 0))
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(t)) for x, t in ((freq, np.int64), (parts, np.int32))]
+            frequent = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["s", "salts"]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sk, pa.binary()), pa.array(rare, pa.binary()), frequent], ["rid", "id", "id0", "th", "n", "sig", "sketch", "rare", "frequent"])
 
     return run
 
 
 def _deal(bits: int):
-    """Per batch and bucket: what the windows of its documents hold there, as arrays."""
+    """Per batch and bucket: the rare landmarks there, and their documents, as arrays."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            rid, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            raw = b.column(2).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw])
+            rid, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             h = np.frombuffer(b"".join(raw), np.uint64)
             if not len(h):
                 continue
-            row, pos = np.repeat(np.arange(len(raw)), sizes), np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
             bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, key, row, pos = bucket[order], (h[order] >> np.uint64(32 - bits)).astype(np.uint32), row[order], pos[order].astype(np.int32)
+            bucket, key, row = bucket[order], (h[order] >> np.uint64(32 - bits)).astype(np.uint32), row[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             cut = lambda v, at=at: pa.array([x.tobytes() for x in np.split(v, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), cut(key), cut(rid[row].astype(np.int64)), cut(n[row].astype(np.int32)), cut(pos)], ["bucket", "key", "rid", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), cut(key), cut(rid[row].astype(np.int64))], ["bucket", "key", "rid"])
 
     return run
 
 
-def _region_pairs(pdf):
-    """Candidate pairs of all regions of a bucket, each once."""
+def _stars_of_bucket(pdf):
+    """(x, q) of the landmarks of a bucket that several documents hold: each with its pivot, the document of the smallest hash."""
     import pandas as pd
 
-    key, rid, n, pos = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("key", np.uint32), ("rid", np.int64), ("n", np.int32), ("pos", np.int32)))
-    order = np.lexsort((rid, key))
-    key, rid, n, pos = key[order], rid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    a, b, k = [], [], 1
-    while k < len(key):
-        i = np.flatnonzero(key[:-k] == key[k:])
-        if not len(i):
-            break
-        j = i + k
-        room = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * room >= 4 * (n[i] + n[j]))
-        a.append(rid[i[ok]])
-        b.append(rid[j[ok]])
-        k += 1
-    if not a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
-
-def _fits(x: str, y: str):
-    """Whether the sizes and the places of a shared pivot leave room for the overlap."""
-    n, m, p, q = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - p - 1, m - q - 1)) >= 4 * (n + m))
-
-
-def _bounds(batches):
-    """(a, b, lo, maybe): a lower bound of the distance from the sketches, and whether a link is possible."""
-    import pyarrow as pa
-
-    for b in batches:
-        lo, maybe = [], []
-        for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            d = max(apart(x, y), abs(n - m))
-            lo.append(2 * d / (n + m + d))
-            maybe.append(9 * d <= n + m)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lo, pa.float64()), pa.array(maybe, pa.bool_())], ["a", "b", "lo", "maybe"])
+    key, rid = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("key", np.uint32), ("rid", np.int64)))
+    order = np.lexsort((mix64(rid.view(np.uint64)), key))
+    key, rid = key[order], rid[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    pivot = np.repeat(rid[first], np.diff(np.r_[first, len(key)]))
+    own = pivot != rid
+    return pd.DataFrame({"x": rid[own], "q": pivot[own]}).drop_duplicates()
 
 
 def _exact(batches):
-    """(a, b, d, linked) from the full sets."""
+    """(x, q, d, linked) from the full sets."""
     import pyarrow as pa
 
     for b in batches:
@@ -216,7 +197,7 @@ def _exact(batches):
             union = len(x) + len(y) - both
             d.append(1 - both / union)
             linked.append(100 * both >= 80 * union)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["x", "q", "d", "linked"])
 
 
 def _hashes(batches):
@@ -228,22 +209,17 @@ def _hashes(batches):
 
 
 def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, lo, hi, linked) of each pair of points, linked exactly."""
-    side = lambda c: points.select(F.col("rid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "as", "bs")
-    near = written(near.mapInArrow(lean(_bounds), "a long, b long, lo double, maybe boolean"), "jaccard-bounds")
-    open_ = near.where("maybe").select("a", "b")
-    ids = written(open_.select(F.col("a").alias("rid")).unionByName(open_.select(F.col("b").alias("rid"))).distinct().join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
+    """(x, q, d, linked) of each pair of points, exactly. A point may be the q of any number of pairs."""
+    ids = pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("q").alias("rid"))).distinct()
+    ids = written(ids.join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
     sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(lean(_hashes), "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
     sets = written(ids.join(sets, ["id0", "th"]).select("rid", "set"), "jaccard-sets")
-    full = open_.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    exact = full.mapInArrow(lean(_exact), "a long, b long, d double, linked boolean")
-    out = near.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    return written(out, "jaccard-measured")
+    both = salted(pairs.select("x", "q").join(sets.select(F.col("rid").alias("x"), F.col("set").alias("a")), "x"), sets.select(F.col("rid").alias("q"), F.col("set").alias("b")), "q", "x", pairs)
+    return written(both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean"), "jaccard-measured")
 
 
 def _block(pdf):
-    """Pairs of rows that ask and rows of a chunk of their region that may link: other component, sizes, places, window and sketches allow it."""
+    """(x, q) of rows that ask and rows of a chunk of their region that may link: other component, sizes, window and sketches allow it."""
     import pandas as pd
 
     q, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
@@ -257,9 +233,8 @@ def _block(pdf):
             b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
         a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
         n, m = col(own, "n").astype(np.int64)[:, None], col(rows, "n").astype(np.int64)[None, :]
-        room = 1 + np.minimum(n - col(own, "pos")[:, None] - 1, m - col(rows, "pos")[None, :] - 1)
-        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * room >= 4 * (n + m)) & (9 * np.abs(n - m) <= n + m)
-        ok &= (col(own, "lo")[:, None] - col(rows, "hi")[None, :] <= 0.2 + 1e-9) & (col(rows, "lo")[None, :] - col(own, "hi")[:, None] <= 0.2 + 1e-9)
+        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.abs(n - m) <= n + m)
+        ok &= np.abs(col(own, "d")[:, None] - col(rows, "d")[None, :]) <= NEAR
         ok &= (col(own, "label")[:, None] != col(rows, "label")[None, :]) & ((col(rows, "label") == col(rows, "major"))[None, :] | (col(own, "rid")[:, None] < col(rows, "rid")[None, :]))
         i, j = np.nonzero(ok)
         for at in range(0, len(i), 50_000):
@@ -267,87 +242,105 @@ def _block(pdf):
             apart_ = np.bitwise_count(a[x] ^ b[z]).sum(1, dtype=np.int64)
             fine = 9 * apart_ <= n[x, 0] + m[0, z]
             p, r = col(own, "rid")[x[fine]], col(rows, "rid")[z[fine]]
-            out.append(pd.DataFrame({"a": np.minimum(p, r), "b": np.maximum(p, r)}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            out.append(pd.DataFrame({"x": np.minimum(p, r), "q": np.maximum(p, r)}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"x": np.zeros(0, np.int64), "q": np.zeros(0, np.int64)})
+
+
+def _shared_landmarks(held: DataFrame) -> DataFrame:
+    """(x, q) of the frequent landmarks (s, salts, rid): each document with the landmark's pivot. The documents of a landmark are dealt to its parts."""
+    least = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid")).alias("p")
+    pivot = held.groupBy("s").agg(least, F.max("salts").alias("salts")).select("s", F.col("p.rid").alias("q"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"))
+    return dealt.join(pivot, ["s", "salt"]).where("rid <> q").select(F.col("rid").alias("x"), "q")
 
 
-def _pivots(rows: DataFrame, n: int) -> DataFrame:
-    """(s, seed, p, pn, ppos): n members of each region as document pivots, the smallest of n seeded hashes: the same documents in the regions they share."""
-    least = [F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("h"), F.lit(k).alias("seed"), "rid", "n", "pos")).alias(f"p{k}") for k in range(n)]
-    one = rows.groupBy("s").agg(*least).select("s", F.explode(F.array(*[f"p{k}" for k in range(n)])).alias("p"))
-    return one.select("s", "p.seed", F.col("p.rid").alias("p"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+def _named(parts: DataFrame) -> DataFrame:
+    return parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _stars(rows: DataFrame, pivot: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pivots and the members of their regions; of the first pivot all, so that windows know their distance, of others those that fit."""
-    own = rows.select("s", "rid", "n", "pos").join(pivot, "s").where("rid <> p")
-    own = own.withColumnsRenamed({"rid": "xrid", "n": "xn", "pos": "xpos", "pn": "yn", "ppos": "ypos"}).where((F.col("seed") == 0) | _fits("x", "y"))
-    return own.select(F.least("xrid", "p").alias("a"), F.greatest("xrid", "p").alias("b"))
+def _unsettled(regions: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows (region, rid, d) of regions of several components, with their component (label), the region's largest (major) and its rows (size)."""
+    inside = regions.join(_named(parts), F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component")
+    inside = written(inside, "jaccard-inside")
+    several = inside.groupBy("region", "label").count().groupBy("region").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("size"))
+    several = written(several.where("labels > 1").select("region", "major", "size"), "jaccard-several")
+    return inside.join(sized(several), "region")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 32) -> DataFrame:
+def _split(rows: DataFrame, points: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(regions, measured): rows of large regions dealt to the Voronoi regions of new pivots and of their own, with triangle windows; and all distances to the new pivots."""
+    least = [F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("h"), "rid")).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = rows.where("label <> major").groupBy("region").agg(*least)
+    chosen = written(chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{k}.rid" for k in range(PIVOTS)]))).alias("q")), "jaccard-chosen")
+    own = written(rows.join(sized(chosen), "region").select("region", "size", "flat", F.col("rid").alias("x"), "q", F.col("d").alias("to_own")), "jaccard-asked")
+    measured = _measure(own.where("x <> q").select("x", "q").distinct(), points, docs)
+    known = own.join(measured.select("x", "q", "d"), ["x", "q"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    all_ = F.concat(F.collect_list(F.struct("d", "q")), F.array(F.struct(F.first("to_own").alias("d"), F.lit(-1).cast("long").alias("q"))))
+    each = known.groupBy("region", F.col("x").alias("rid")).agg(F.first("size").alias("parent"), all_.alias("to"))
+    nearest = F.array_min(F.transform("to", lambda t: t["d"]))
+    kept = each.withColumn("nearest", nearest).select("region", "rid", "parent", F.explode(F.filter("to", lambda t: t["d"] <= F.col("nearest") + NEAR)).alias("t"))
+    out = written(kept.select(F.xxhash64("region", "t.q").alias("region"), "rid", F.col("t.d").alias("d"), "parent"), "jaccard-split")
+    size = out.groupBy("region").agg((10 * F.count(F.lit(1)) > 8 * F.first("parent")).alias("flat"))
+    return written(out.drop("parent").join(sized(written(size, "jaccard-sizes")), "region"), "jaccard-regions"), measured
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 32, region: int = REGION, row_col: str | None = None) -> DataFrame:
     """(rid, id, n_shingles, component_id, keep) of each row of docs.
 
     component_id is the smallest id reachable by links; null ids count as larger than all others, and stay null where no
     other is reached. keep marks one row of each component: the smallest id, and of rows that share it the first. Null and
-    empty texts and texts without words have an empty set and link with nothing. Rows that share an id are rows of their own. An
-    empty table gives no rows.
+    empty texts and texts without words have an empty set and link with nothing. Rows that share an id are rows of their own. A
+    long text is read whole. Other columns of docs are not read, whatever their names. An empty table gives no rows. row_col:
+    a column of distinct numbers to take as rid.
     """
     sc, bits = small_batches(docs).sparkSession.sparkContext, _bits(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns({"id0": F.coalesce("id", F.lit(0)), "th": F.xxhash64("text", F.col("id").isNull())})
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), rid.alias("rid")).withColumns({"id0": F.coalesce("id", F.lit(0)), "th": F.xxhash64("text", F.col("id").isNull())})
     keys, levels = (sc.broadcast(x) for x in frequent_shingles(docs, rare, bits))
-    points = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "id0", "th", "text").mapInArrow(lean(_sets(bits, keys, levels)), SETS)
+    points = docs.select("rid", "id", "id0", "th", "text").mapInArrow(lean(_sets(bits, keys, levels, rare)), SETS)
     points = written(points, "jaccard-points")
 
     # Equal sets are one point: the row written first.
-    same = written(points.where("n > 0").groupBy("sig").agg(F.min("rid").alias("point")), "jaccard-same")
-    members = written(points.select("rid", "id", "n", "sig").join(same, "sig", "left").select("rid", "id", "n", F.coalesce("point", "rid").alias("point")), "jaccard-members")
+    same = points.where("n > 0").groupBy("sig").agg(F.min("rid").alias("point"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("sig", "point")
+    members = points.select("rid", "id", "n", "sig").join(sized(written(same, "jaccard-same")), "sig", "left").select("rid", "id", "n", F.coalesce("point", "rid").alias("point"))
+    members = written(members, "jaccard-members")
     copies = members.where("rid <> point or n = 0").select("rid")
     points = points.join(sized(copies), "rid", "left_anti")
 
-    rare_pairs = points.select("rid", "n", "rare").mapInArrow(lean(_deal(bits)), "bucket int, key binary, rid binary, n binary, pos binary").groupBy("bucket").applyInPandas(_region_pairs, "a long, b long")
-
-    held = points.where(F.size("frequent") > 0).select("rid", "n", (F.length("rare") / 8).cast("int").alias("from"), F.posexplode("frequent").alias("k", "s"))
-    held = written(held.select("s", "rid", "n", (F.col("from") + F.col("k")).alias("pos")), "jaccard-held")
-    pivot = written(_pivots(held, PIVOTS), "jaccard-pivots")
-    pairs = written(rare_pairs.unionByName(_stars(held, pivot)).distinct(), "jaccard-pairs")
-    measured = _measure(pairs, points, docs)
-    parts = components(measured.where("linked").select("a", "b"))
-    known = measured.select(F.col("a").alias("p"), F.col("b").alias("rid"), "lo", "hi").unionByName(measured.select(F.col("b").alias("p"), F.col("a").alias("rid"), "lo", "hi"))
-    first = pivot.where("seed = 0").select("s", "p")
-    bounded = held.join(first, "s").join(known, ["p", "rid"], "left")
-    own = F.col("rid") == F.col("p")
-    bounded = bounded.select("s", "rid", "n", "pos", F.when(own, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))).alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"))
-    bounded = written(bounded, "jaccard-bounded")
-
-    def unsettled():
-        """Rows of regions that hold several components, with their component and the region's largest."""
-        named = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
-        inside = written(bounded.join(named, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component"), "jaccard-inside")
-        several = inside.groupBy("s", "label").count().groupBy("s").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major")).where("labels > 1").select("s", "major")
-        return inside.join(written(several, "jaccard-several"), "s")
-
-    def merged(new: DataFrame) -> DataFrame:
-        links = _measure(new, points, docs).where("linked").select("a", "b")
-        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-
-    for _ in range(ROUNDS):
-        inside = unsettled()
-        star = written(_stars(inside, _pivots(inside.where("label <> major"), PIVOTS)).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-star")
-        if star.isEmpty():
+    # Pivots and their regions.
+    rare_stars = points.select("rid", "rare").mapInArrow(lean(_deal(bits)), "bucket int, key binary, rid binary").groupBy("bucket").applyInPandas(_stars_of_bucket, "x long, q long")
+    held = written(points.where(F.size("frequent") > 0).select("rid", F.explode("frequent").alias("f")).select("f.s", "f.salts", "rid"), "jaccard-held")
+    stars = written(rare_stars.unionByName(_shared_landmarks(held)).distinct(), "jaccard-stars")
+    measured = _measure(stars, points, docs)
+    parts = components(measured.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b")))
+    centres = measured.select(F.col("q").alias("region"), F.col("q").alias("rid"), F.lit(0.0).alias("d")).distinct()
+    regions = measured.select(F.col("q").alias("region"), F.col("x").alias("rid"), "d").unionByName(centres).withColumn("flat", F.lit(False))
+
+    def merged(links: DataFrame) -> DataFrame:
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))))
+
+    # Recursion into Voronoi regions of the unsettled ones.
+    final = None
+    while True:
+        inside = written(_unsettled(regions, parts), "jaccard-unsettled")
+        done = inside.where((F.col("size") <= region) | F.col("flat")).select("region", "rid", "d")
+        final = done if final is None else final.unionByName(done)
+        large = inside.where((F.col("size") > region) & ~F.col("flat"))
+        if large.isEmpty():
             break
-        parts = merged(star)
-        pairs = pairs.unionByName(star)
-    inside = unsettled()
-    size = inside.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    rows = inside.join(written(size, "jaccard-chunks"), "s").join(points.select("rid", "sketch"), "rid").withColumn("asks", F.lit(False))
+        regions, measured = _split(large, points, docs)
+        parts = merged(measured)
+
+    # Join of what is left.
+    inside = _unsettled(final, parts)
+    rows = inside.join(points.select("rid", "n", "sketch"), "rid").withColumns({"asks": F.lit(False), "chunks": F.ceil(F.col("size") / BLOCK).cast("int")})
+    rows = written(rows, "jaccard-rows")
     asks = rows.where("label <> major").withColumns({"asks": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
-    cross = rows.drop("chunks").groupBy("s", "chunk").applyInPandas(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    cross = written(cross, "jaccard-cross")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
+    cross = written(dealt.groupBy("region", "chunk").applyInPandas(_block, "x long, q long").distinct(), "jaccard-cross")
     if not cross.isEmpty():
-        parts = merged(cross)
+        parts = merged(_measure(cross, points, docs))
 
     reach = written(members.join(parts, F.col("point") == F.col("node"), "left").select("rid", "id", "n", F.coalesce("component", "point").alias("c")), "jaccard-reach")
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("low")
@@ -361,12 +354,12 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of linked documents; same columns.
+    """docs with one row of each group of linked documents: the smallest id, and of rows that share it the first; same columns.
 
-    Rows that share both id and text stay or go together unless they are copies of the row that stays: then one stays.
+    Rows with null, empty or wordless texts stay, each by itself. Extra columns may have any names. An empty table gives no rows.
     """
-    own = docs.withColumn("__rid", F.monotonically_increasing_id())
-    own = written(own, "jaccard-docs")
-    kept = jaccard_components(own.select(F.col("__rid").alias("doc_id"), F.col(text_col).alias("text")))
-    gone = written(kept.where(~F.col("keep")).select(F.col("id").alias("__rid")), "jaccard-gone")
-    return own.join(sized(gone), "__rid", "left_anti").select(*docs.columns)
+    (row,) = fresh(docs, "row_number")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-docs")
+    kept = jaccard_components(own.select(F.col(row).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), row_col="rid")
+    gone = written(kept.where(~F.col("keep")).select(F.col("rid").alias(row)), "jaccard-gone")
+    return own.join(sized(gone), row, "left_anti").select(*docs.columns)

@@ -168,9 +168,9 @@ def brute_jaccard(texts, ids):
     return sorted(((ids[k], len(sets[k]), low.get(root(k))) for k in range(len(texts))), key=str)
 
 
-@pytest.mark.parametrize("rare", [32, 2])
-def test_jaccard_join(spark, rare):
-    """rare 2 sends nearly all regions into the recursion over document pivots."""
+@pytest.mark.parametrize(("rare", "region"), [(32, 128), (2, 3)])
+def test_jaccard_join(spark, rare, region):
+    """rare 2 gives nearly all landmarks to the salted join, region 3 splits nearly all regions by Voronoi pivots, several times."""
     rng = random.Random(4)
     texts = list(ODD)
     for _ in range(6):
@@ -183,13 +183,30 @@ def test_jaccard_join(spark, rare):
     shared = " ".join(f"s{i}" for i in range(30))
     texts += [f"{shared} {' '.join(f'q{rng.randint(0, 999)}' for _ in range(k % 9))}" for k in range(25)]
     ids = [*range(1000, 1000 - len(texts) + 3, -1), None, None, 990]
-    got = jaccard_join.jaccard_components(docs(spark, texts, ids).repartition(4), rare=rare)
+    got = jaccard_join.jaccard_components(docs(spark, texts, ids).repartition(4), rare=rare, region=region)
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_jaccard(texts, ids)
     if rare == 2:
         assert jaccard_join.jaccard_report(docs(spark, [])).count() == 0
-        df = docs(spark, ["a b c d e f", "a b c d e f", "z y"])
+        df = docs(spark, ["a b c d e f", "a b c d e f", "z y", None, ""], [9, 4, None, 4, 4])
         out = jaccard_join.one_of_each(df)
-        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
+        assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(4, "a b c d e f"), (None, "z y"), (4, None), (4, "")], key=str)
+
+
+def test_voronoi_windows_keep_all_links(spark):
+    """Chains of documents that share one passage: one region, many components, several rounds of splitting; against brute force."""
+    rng = random.Random(7)
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(30)]
+        for _ in range(8):
+            own = list(own)
+            for _ in range(2):
+                own[rng.randrange(len(own))] = f"v{rng.randint(0, 10**6)}"
+            texts.append(f"{shared} {' '.join(own)}")
+    ids = list(range(len(texts)))
+    got = jaccard_join.jaccard_components(docs(spark, texts, ids).repartition(3), rare=2, region=4)
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_jaccard(texts, ids)
 
 
 def test_sketches_bound_the_difference():
