@@ -8,7 +8,7 @@ first n - ceil(0.8 n) + 1 of its n shingles in one fixed order. Linked documents
 hold a landmark, the one of the smallest hash is its pivot: a document, the same for most landmarks of a group of copies. The
 region of a pivot is all documents that hold one of its landmarks, so a document without company is in no region, and linked
 documents share a region. Every document's exact distance to the pivots of its regions is found: one pair a document and
-pivot, never all pairs of a region. Documents within 0.2 of a pivot are one component with it.
+pivot, never all pairs of a region. Documents within 0.2 of a pivot are one component with it; the pivot itself needs no further comparison there.
 
 Recursion. A region whose documents are of one component already is done. Any other of more than REGION documents is split:
 PIVOTS of its documents outside the largest component become pivots, the distances of all its documents to them are found
@@ -43,6 +43,8 @@ FREQUENT = 4_000_000
 PIVOTS, REGION = 8, 128
 #: Rows of a region that could not be split with which the rows of smaller components are compared in one group.
 BLOCK = 256
+#: Rows of several regions that are joined in one Python group.
+GROUP_ROWS = 20_000
 #: The distance of a link, and what floating point may add to it.
 NEAR = 0.2 + 1e-9
 
@@ -218,31 +220,56 @@ def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean"), "jaccard-measured")
 
 
+def _near(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows the sketches allow to link."""
+    width = np.array([len(x) for x in sketches])
+    fine = np.zeros(len(i), bool)
+    swap = width[i] < width[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    for big, small in np.unique(np.stack([width[i], width[j]]), axis=1).T.tolist():
+        at = np.flatnonzero((width[i] == big) & (width[j] == small))
+        for some in np.array_split(at, -(-len(at) * (big + small) // 30_000_000)):
+            a, b = (np.frombuffer(b"".join([sketches[k] for k in v[some].tolist()]), np.uint8).reshape(len(some), -1) for v in (i, j))
+            while a.shape[1] > small:
+                a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+            apart_ = np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ b.view(np.uint64)).sum(1, dtype=np.int64)
+            fine[some] = 9 * apart_ <= n[i[some]] + n[j[some]]
+    return fine
+
+
 def _block(pdf):
-    """(x, q) of rows that ask and rows of a chunk of their region that may link: other component, sizes, window and sketches allow it."""
+    """(x, q) of rows that ask and rows of the same chunk of their region that may link: other component, sizes, window and sketches allow it."""
     import pandas as pd
 
-    q, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-    out = []
-    col = lambda d, c: d[c].to_numpy()
-    for own, rows in ((x, z) for _, x in q.groupby(q["sketch"].str.len()) for _, z in y.groupby(y["sketch"].str.len())):
-        a, b = (np.frombuffer(b"".join(d["sketch"]), np.uint8).reshape(len(d), -1) for d in (own, rows))
-        while a.shape[1] > b.shape[1]:
-            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
-        while b.shape[1] > a.shape[1]:
-            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
-        a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
-        n, m = col(own, "n").astype(np.int64)[:, None], col(rows, "n").astype(np.int64)[None, :]
-        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.abs(n - m) <= n + m)
-        ok &= np.abs(col(own, "d")[:, None] - col(rows, "d")[None, :]) <= NEAR
-        ok &= (col(own, "label")[:, None] != col(rows, "label")[None, :]) & ((col(rows, "label") == col(rows, "major"))[None, :] | (col(own, "rid")[:, None] < col(rows, "rid")[None, :]))
-        i, j = np.nonzero(ok)
-        for at in range(0, len(i), 50_000):
-            x, z = i[at : at + 50_000], j[at : at + 50_000]
-            apart_ = np.bitwise_count(a[x] ^ b[z]).sum(1, dtype=np.int64)
-            fine = 9 * apart_ <= n[x, 0] + m[0, z]
-            p, r = col(own, "rid")[x[fine]], col(rows, "rid")[z[fine]]
-            out.append(pd.DataFrame({"x": np.minimum(p, r), "q": np.maximum(p, r)}))
+    pdf = pdf.sort_values(["region", "chunk", "asks"])
+    region, chunk, asks, rid, n, d, label, major = (pdf[c].to_numpy() for c in ("region", "chunk", "asks", "rid", "n", "d", "label", "major"))
+    n, sketches = n.astype(np.int64), pdf["sketch"].tolist()
+    begin = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (chunk[1:] != chunk[:-1])])
+    out, held, waiting = [], [], 0
+
+    def test():
+        i, j = (np.concatenate(v) for v in zip(*held, strict=True))
+        fine = _near(sketches, n, i, j)
+        p, r = rid[i[fine]], rid[j[fine]]
+        out.append(pd.DataFrame({"x": np.minimum(p, r), "q": np.maximum(p, r)}))
+
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(rid)], strict=True):
+        mid = lo + int(np.searchsorted(asks[lo:hi], True))
+        rows = np.arange(lo, mid)
+        for at in range(mid, hi, 4096):
+            own = np.arange(at, min(at + 4096, hi))
+            a, b = n[own][:, None], n[rows][None, :]
+            ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * np.abs(a - b) <= a + b)
+            ok &= np.abs(d[own][:, None] - d[rows][None, :]) <= NEAR
+            ok &= (label[own][:, None] != label[rows][None, :]) & ((label[rows] == major[rows])[None, :] | (rid[own][:, None] < rid[rows][None, :]))
+            i, j = np.nonzero(ok)
+            held.append((own[i], rows[j]))
+            waiting += len(i)
+            if waiting > 50_000:
+                test()
+                held, waiting = [], 0
+    if held:
+        test()
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"x": np.zeros(0, np.int64), "q": np.zeros(0, np.int64)})
 
 
@@ -259,7 +286,7 @@ def _named(parts: DataFrame) -> DataFrame:
 
 
 def _unsettled(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows (region, rid, d) of regions of several components, with their component (label), the region's largest (major) and its rows (size)."""
+    """The rows (region, rid, d) of regions of several components, with their component (label), the region's largest (major) and its rows (size). Pivots are no rows: all their distances are known."""
     inside = regions.join(_named(parts), F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component")
     inside = written(inside, "jaccard-inside")
     several = inside.groupBy("region", "label").count().groupBy("region").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("size"))
@@ -276,7 +303,7 @@ def _split(rows: DataFrame, points: DataFrame, docs: DataFrame) -> tuple[DataFra
     measured = _measure(own.where("x <> q").select("x", "q").distinct(), points, docs)
     known = own.join(measured.select("x", "q", "d"), ["x", "q"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     all_ = F.concat(F.collect_list(F.struct("d", "q")), F.array(F.struct(F.first("to_own").alias("d"), F.lit(-1).cast("long").alias("q"))))
-    each = known.groupBy("region", F.col("x").alias("rid")).agg(F.first("size").alias("parent"), all_.alias("to"))
+    each = known.groupBy("region", F.col("x").alias("rid")).agg(F.first("size").alias("parent"), all_.alias("to"), F.max(F.col("x") == F.col("q")).alias("pivot")).where("not pivot")
     nearest = F.array_min(F.transform("to", lambda t: t["d"]))
     kept = each.withColumn("nearest", nearest).select("region", "rid", "parent", F.explode(F.filter("to", lambda t: t["d"] <= F.col("nearest") + NEAR)).alias("t"))
     out = written(kept.select(F.xxhash64("region", "t.q").alias("region"), "rid", F.col("t.d").alias("d"), "parent"), "jaccard-split")
@@ -314,8 +341,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = written(rare_stars.unionByName(_shared_landmarks(held)).distinct(), "jaccard-stars")
     measured = _measure(stars, points, docs)
     parts = components(measured.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b")))
-    centres = measured.select(F.col("q").alias("region"), F.col("q").alias("rid"), F.lit(0.0).alias("d")).distinct()
-    regions = measured.select(F.col("q").alias("region"), F.col("x").alias("rid"), "d").unionByName(centres).withColumn("flat", F.lit(False))
+    regions = measured.select(F.col("q").alias("region"), F.col("x").alias("rid"), "d", F.lit(False).alias("flat"))
 
     def merged(links: DataFrame) -> DataFrame:
         return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))))
@@ -338,7 +364,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(rows, "jaccard-rows")
     asks = rows.where("label <> major").withColumns({"asks": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
-    cross = written(dealt.groupBy("region", "chunk").applyInPandas(_block, "x long, q long").distinct(), "jaccard-cross")
+    groups = max(partitions(rows.sparkSession), rows.count() // GROUP_ROWS)
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("region", "chunk"), F.lit(groups)))
+    cross = written(dealt.groupBy("group").applyInPandas(_block, "x long, q long").distinct(), "jaccard-cross")
     if not cross.isEmpty():
         parts = merged(_measure(cross, points, docs))
 
