@@ -1,11 +1,14 @@
 """Exact deduplication with keyed streaming state.
 
-The documents are staged once, each row with a stable identifier (its row number in the staged table), its digest and its
-text. A Structured Streaming aggregation keyed by digest reads the narrow columns; its state lives in RocksDB, has no
-watermark and so never expires, and holds per digest the best identifier, the locator of the retained content (the staged
-row that came first) and a count. Partial aggregation before the shuffle collapses a hot digest to one row a task. Every hit
-(a row whose digest is retained by another row) is then compared with the retained content byte for byte; rows of a digest
-with a mismatch are grouped by their texts instead.
+The documents are staged once, each row with a stable identifier (the run's number and its row number in the staged table), its
+digest and its text. A Structured Streaming aggregation keyed by digest reads the narrow columns; its state lives in RocksDB,
+has no watermark and so never expires, and holds per digest the best identifier, the locator of the retained content (the
+staged row that came first) and a count. Partial aggregation before the shuffle collapses a hot digest to one row a task.
+Every hit (a row whose digest is retained by another row) is then compared with the retained content byte for byte; rows of a
+digest with a mismatch are grouped by their texts instead.
+
+The state, its checkpoint and the staged rows lie in one folder. A later run over new documents with the same folder continues
+the stream: its rows are found equal to those of earlier runs, whose contents it reads only where digests hit.
 """
 
 from __future__ import annotations
@@ -25,83 +28,106 @@ CONF = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a loaded instance preallocates 4 MB of local disk
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+STAGED = "run int, rid long, id long, digest binary, text string"
+STATE = "digest binary, best struct<id:bigint,nrun:int,neg:bigint>, locator struct<run:int,rid:bigint>, n bigint, batch int"
 
 
-def _state(staged_path: str, narrow, spark, files_per_batch: int) -> DataFrame:
-    """Runs the stream over what is staged; the last state of each digest: (digest, best, locator, n)."""
-    out, at = shared_path(spark, "dedup-state"), shared_path(spark, "dedup-stream")
+def _read(spark, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path, an empty one where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _best():
+    return F.max(F.struct("id", (-F.col("run")).alias("nrun"), (-F.col("rid")).alias("neg"))).alias("best")
+
+
+def _state(spark, folder: str, files_per_batch: int) -> DataFrame:
+    """Runs the stream over what was staged since it last ran; the state of each digest it met: (digest, best, locator, n)."""
+    batches: list[int] = []
     before = {k: spark.conf.get(k, None) for k in CONF}
     for k, v in CONF.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(narrow).option("maxFilesPerTrigger", files_per_batch).parquet(staged_path)
-        state = rows.groupBy("__digest").agg(
-            F.max(F.struct(F.col("__id"), (-F.col("__rid")).alias("__neg"))).alias("best"), F.min("__rid").alias("locator"), F.count(F.lit(1)).alias("n")
-        )
+        rows = spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/staged")
+        state = rows.groupBy("digest").agg(_best(), F.min(F.struct("run", "rid")).alias("locator"), F.count(F.lit(1)).alias("n"))
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again overwrites its own folder
+            batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")  # a batch that is run again overwrites its own folder
+            batches.append(number)
 
-        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "__digest binary, best struct<__id:bigint,__neg:bigint>, locator bigint, n bigint, batch int"
-    try:
-        found = spark.read.schema(schema).parquet(out)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        found = spark.createDataFrame([], schema)  # no row, no batch
-    last = F.max_by(F.struct("best", "locator", "n"), "n").alias("s")
-    return found.groupBy("__digest").agg(last).select("__digest", "s.*")
+    found = _read(spark, f"{folder}/state", STATE).where(F.col("batch") >= min(batches, default=0))
+    return found.groupBy("digest").agg(F.max_by(F.struct("best", "locator", "n"), "n").alias("s")).select("digest", "s.*")
+
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_batch: int = 1000, state_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(staged documents, decisions).
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_batch: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(staged documents with __rid, decisions).
+    staged: rid, id, digest, text and rest, a struct of the other columns, whatever their names. decisions: one row per
+    input row: rid, id, keep_id, n, kept, seen, digest. Null texts count as empty. Of equal texts the row with the largest
+    id stays; of rows that share that id too, the one staged first; null ids come last. A long text is hashed and compared
+    whole. An empty table gives no rows. digest_bits below 256 is for tests of the byte check.
 
-    decisions: one row per input row: __rid, __id, __keep_id, __n, __kept, __digest. Null texts count as empty. Of equal
-    texts the row with the largest id stays; of rows that share that id too, the one staged first; null ids come last. An
-    empty table gives no rows. Columns of other names pass through the staged table untouched. digest_bits below 256 is for
-    tests of the byte check.
+    state_path: a folder that driver and executors share, where the state of earlier runs lies or will lie; without it the
+    state is new and serves this run alone. keep_id and n count the rows of all runs, kept is whether the row is the one of
+    all runs that stays, seen whether an earlier run held an equal text. Runs of one folder come one after another; rows
+    that a failed run staged belong to the next one.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, digest_bits // 4))
-    path = shared_path(spark, "dedup-staged")
-    staged = docs.withColumns({"__rid": F.monotonically_increasing_id(), "__id": F.col(id_col).cast("long"), "__digest": digest})
-    staged.write.parquet(path)
-    staged = spark.read.schema(staged.schema).parquet(path)
-    narrow = staged.select("__rid", "__id", "__digest")
-    state = written(_state(path, narrow.schema, spark, files_per_batch), "dedup-last")  # a table, so that a hot digest's rows can be split in the join
-    members = written(narrow.join(state, "__digest").select("__rid", "__id", "__digest", "best", "locator", "n"), "dedup-members")
-
-    hits = members.where("__rid != locator").select("__rid", "locator")
-    hit_texts = staged.select("__rid", text.alias("a")).join(sized(hits), "__rid")
-    kept_texts = staged.select(F.col("__rid").alias("locator"), text.alias("b")).join(sized(hits.select("locator").distinct()), "locator")
-    wrong = hit_texts.join(kept_texts, "locator").where(F.col("a").cast("binary") != F.col("b").cast("binary")).select("__rid")
+    folder = state_path.rstrip("/") if state_path else shared_path(spark, "dedup")
+    run = 0
+    if state_path:
+        run = _read(spark, f"{folder}/runs", "run int").agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
+        spark.range(1).select(F.lit(run).alias("run")).write.mode("append").parquet(f"{folder}/runs")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, digest_bits // 4))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    new = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    new.write.parquet(f"{folder}/staged/run={run}")
+    new = spark.read.schema(new.schema).parquet(f"{folder}/staged/run={run}")
+    held = _read(spark, f"{folder}/staged", STAGED)  # of all runs
+    state = written(_state(spark, folder, files_per_batch), "dedup-last")  # a table, so that a hot digest's rows can be split in the join
+    members = written(new.select("rid", "id", "digest").join(state, "digest").select("rid", "id", "digest", "best", "locator", "n"), "dedup-members")
+
+    hits = members.where((F.col("locator.run") < run) | (F.col("rid") != F.col("locator.rid"))).select("rid", F.col("locator.run").alias("lrun"), F.col("locator.rid").alias("lrid"))
+    kept = sized(hits.select("lrun", "lrid").distinct())
+    kept_texts = held.select(F.col("run").alias("lrun"), F.col("rid").alias("lrid"), text.alias("b")).join(kept, ["lrun", "lrid"])
+    wrong = new.select("rid", text.alias("a")).join(sized(hits), "rid").join(kept_texts, ["lrun", "lrid"]).where(F.col("a").cast("binary") != F.col("b").cast("binary")).select("rid")
     wrong = written(wrong, "dedup-wrong")
-    cols = ["__rid", "__id", "best", "n", "__digest"]
+    cols = ["rid", "id", "best", "n", "digest", "seen"]
+    members = members.withColumn("seen", F.col("locator.run") < run)
     if wrong.isEmpty():
         final = members.select(cols)
     else:
-        bad = members.join(wrong, "__rid", "left_semi").select("__digest").distinct()
-        rows = staged.select("__rid", "__id", "__digest", text.alias("a")).join(bad, "__digest", "left_semi")
-        best = F.max(F.struct(F.col("__id"), (-F.col("__rid")).alias("__neg"))).alias("best")
-        again = rows.groupBy("__digest", "a").agg(best, F.count(F.lit(1)).alias("n"))
-        final = members.join(bad, "__digest", "left_anti").select(cols).unionByName(rows.join(again, ["__digest", "a"]).select(cols))
-    return staged, final.select("__rid", "__id", F.col("best.__id").alias("__keep_id"), F.col("n").alias("__n"), (F.col("__rid") == -F.col("best.__neg")).alias("__kept"), "__digest")
+        bad = members.join(wrong, "rid", "left_semi").select("digest").distinct()
+        rows = held.select("run", "rid", "id", "digest", text.alias("a")).join(bad, "digest", "left_semi")
+        again = rows.groupBy("digest", "a").agg(_best(), F.count(F.lit(1)).alias("n"), (F.min("run") < run).alias("seen"))
+        final = members.join(bad, "digest", "left_anti").select(cols).unionByName(rows.where(F.col("run") == run).join(again, ["digest", "a"]).select(cols))
+    stays = (F.col("best.nrun") == -run) & (F.col("best.neg") == -F.col("rid"))
+    return new, final.select("rid", "id", F.col("best.id").alias("keep_id"), "n", stays.alias("kept"), "seen", "digest")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs."""
     _, d = exact_dedup(docs)
-    return d.select(F.col("__id").alias("doc_id"), F.col("__keep_id").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+    return d.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; same columns."""
-    staged, d = exact_dedup(docs)
-    dropped = written(d.where(~F.col("__kept")).select("__rid"), "dedup-dropped")
-    return staged.join(sized(dropped), "__rid", "left_anti").select(*docs.columns)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_path: str | None = None) -> DataFrame:
+    """docs without the rows that exact_dedup drops; same columns, of any names. With state_path also without texts that earlier runs held: there one copy stayed already."""
+    staged, d = exact_dedup(docs, id_col, text_col, state_path=state_path)
+    if state_path:  # of this run alone: a text of an earlier run goes, of the others the largest id stays
+        gone = d.where(F.col("seen") | ~F.col("kept")).select("rid")
+    else:
+        gone = d.where(~F.col("kept")).select("rid")
+    out = staged.join(sized(written(gone, "dedup-dropped")), "rid", "left_anti")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])

@@ -131,9 +131,28 @@ def test_exact_dedup(spark, bits, files):
     for i, t in zip(ids, texts, strict=True):
         groups.setdefault(t or "", []).append(i)
     keep = {t: max((i for i in own if i is not None), default=None) for t, own in groups.items()}
-    got = sorted(((r["__id"], r["__keep_id"], r["__n"]) for r in rows), key=str)
+    got = sorted(((r.id, r.keep_id, r.n) for r in rows), key=str)
     assert got == sorted(((i, keep[t or ""], len(groups[t or ""])) for i, t in zip(ids, texts, strict=True)), key=str)
-    assert sum(r["__kept"] for r in rows) == len(groups)
+    assert sum(r.kept for r in rows) == len(groups) and not any(r.seen for r in rows)
+
+
+@pytest.mark.parametrize("bits", [256, 4])
+def test_exact_dedup_continues_a_state(spark, bits):
+    """Three runs of one folder: rows equal to those of earlier runs are seen, sizes and ids are those of all runs."""
+    at = shared_path(spark, "test-state")
+    runs = [([1, 2, 3, 9], ["a", "b", "a", None]), ([4, 0, 5], ["b", "c", ""]), ([], []), ([7, 8], ["c", "d"])]
+    all_ = {}
+    for ids, texts in runs:
+        before = set(all_)
+        for i, t in zip(ids, texts, strict=True):
+            all_.setdefault(t or "", []).append(i)
+        _, d = exact_dedup.exact_dedup(docs(spark, texts, ids).repartition(2), digest_bits=bits, files_per_batch=1, state_path=at)
+        want = {(i, max(all_[t or ""]), len(all_[t or ""]), i == max(all_[t or ""]), (t or "") in before) for i, t in zip(ids, texts, strict=True)}
+        assert {(r.id, r.keep_id, r.n, r.kept, r.seen) for r in d.collect()} == want
+    at = shared_path(spark, "test-state")
+    first = exact_dedup.drop_copies(docs(spark, ["a", "b", "a"], [1, 2, 3]), state_path=at)
+    again = exact_dedup.drop_copies(docs(spark, ["c", "b", "c", "a"], [4, 5, 6, 0]), state_path=at)
+    assert sorted(r.doc_id for r in first.collect()) == [2, 3] and [r.doc_id for r in again.collect()] == [6]
 
 
 def test_drop_copies(spark):
