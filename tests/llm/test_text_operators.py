@@ -518,6 +518,36 @@ def test_quality(spark):
     assert quality.keep_good(df, many).columns == df.columns and quality.quality_report(docs(spark, []), many).count() == 0
 
 
+def test_attention_gradients():
+    """Against finite differences, bags of one to five passages."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 5, 3, 2])
+    x, y, w = rng.standard_normal((11, 7)), np.array([1.0, 0, 1, 0]), rng.uniform(0.5, 1.5, 4)
+    m = quality.Attention(7, d=5, a=4)
+    _, grads = m.gradients(x, sizes, y, w, 0.01)
+    for k, g in grads.items():
+        for at in range(np.size(g)):
+            held = np.array(m.p[k], float)
+            diff = []
+            for e in (1e-6, -1e-6):
+                v = held.copy()
+                v.flat[at] += e
+                m.p[k] = v
+                diff.append(m.gradients(x, sizes, y, w, 0.01)[0])
+            m.p[k] = held
+            assert abs((diff[0] - diff[1]) / 2e-6 - np.ravel(g)[at]) < 1e-6
+
+
+def test_word_identity_reaches_the_score():
+    """Bags that differ by one word's identity alone, of equal form."""
+    texts = ["lorem dolor amet elits " * 30 + ("magna" if i % 2 else "felis") * 1 + " tempo nulla" for i in range(40)] * 3
+    texts = [t if k % 3 else "sedes " * (k % 50) + t for k, t in enumerate(texts)]
+    y = np.array([float("magna" in t) for t in texts])
+    x, sizes = quality.PassageFeatures()(texts)
+    m = quality.Attention(quality.WIDTH).fit(x, sizes, y)
+    assert ((m.score(x, sizes) >= 0.5) == y).mean() >= 0.95
+
+
 def test_features_do_not_depend_on_the_cache():
     texts = ["a B!! c| 12 " * 40, "", "é é é", "x"]
     x, n = quality.PassageFeatures()(texts)
