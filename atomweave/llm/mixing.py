@@ -4,12 +4,12 @@ The leaves of the tree are (domain, language, source). Target weights propagate
 among its children by their weights. A child that cannot use its share (its documents times the epochs allowed hold fewer
 tokens) takes what it can, and its siblings share the rest by weight; only what all siblings together cannot use goes back
 up, to be shared among the parent's siblings. Each leaf then takes the token-prefix of its seeded epochs: epoch e orders the
-leaf's documents by a hash of (seed, e, id), and documents are taken while the tokens before them are fewer than the budget.
+leaf's documents by a hash of (seed, e, id, text), and documents are taken while the tokens before them are fewer than the
+budget.
 
 Statistics cover all rows: token counts are summed per leaf and per leading digit of the hashes of an epoch's order, then per
 next digit inside the one where the prefix ends, so only rows that share 24 leading bits are ordered. No leaf meets in one
-task.
-The tree (one row a leaf) is budgeted on the driver.
+task. Budgets are windows over siblings, so the tree may have any number of leaves; none of it comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,106 +18,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 #: Shifts that leave the first 8, 16 and 24 bits of a hash: the digits by which the end of a prefix is found.
 LEVELS = (56, 48, 40)
-LEAF = ["__domain", "__lang", "__source"]
-
-
-def share(budget: float, children: list[tuple[float, float]]) -> list[float]:
-    """Budget split among (weight, capacity) by weight; what a child cannot hold goes to its siblings. The sum is min(budget, all capacities)."""
-    got, open_ = [0.0] * len(children), [i for i, (w, c) in enumerate(children) if w > 0 and c > 0]
-    left = budget
-    while open_ and left > 1e-9:
-        total = sum(children[i][0] for i in open_)
-        full = [i for i in open_ if got[i] + left * children[i][0] / total >= children[i][1]]
-        if not full:
-            for i in open_:
-                got[i] += left * children[i][0] / total
-            return got
-        spent = sum(children[i][1] - got[i] for i in full)
-        for i in full:
-            got[i] = children[i][1]
-        left -= spent
-        open_ = [i for i in open_ if i not in full]
-    return got
-
-
-def budgets(leaves: dict[tuple, float], weights: dict[tuple, float], total: float) -> dict[tuple, float]:
-    """Budget of each leaf. leaves: capacity by path; weights: by any path prefix, 1 where absent; total: tokens wanted."""
-    if not leaves:
-        return {}
-    depth = len(next(iter(leaves)))
-
-    def usable(path: tuple) -> float:
-        """What the leaves under a path with positive weight hold."""
-        return sum(c for p, c in leaves.items() if p[: len(path)] == path and all(weights.get(p[:k], 1.0) > 0 for k in range(len(path) + 1, depth + 1)))
-
-    out: dict[tuple, float] = {}
-
-    def down(path: tuple, budget: float) -> None:
-        if len(path) == depth:
-            out[path] = budget
-            return
-        names = sorted({p[: len(path) + 1] for p in leaves if p[: len(path)] == path}, key=str)
-        for child, own in zip(names, share(budget, [(weights.get(c, 1.0), usable(c)) for c in names]), strict=True):
-            down(child, own)
-
-    down((), min(total, usable(())))
-    return out
+LEAF = ["domain", "lang", "source"]
 
 
-def mix(docs: DataFrame, weights: dict[tuple, float] | None = None, fraction: float = 0.8, epochs: int = 4, seed: int = 17, domain=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(__row columns of docs, __n_tokens, __copies, __budget): every row of docs with the number of epochs that take it.
+def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
+    """nodes (parent columns, weight, holds, budget of the parent) with got: the budget split by weight; what a node cannot hold goes to its siblings.
 
-    fraction: tokens wanted, of those there are. weights: by (domain,), (domain, lang) or (domain, lang, source); 1 where
-    absent. domain: a column of docs' leaf columns; by default the source's last digit even or odd. Tokens are runs of
-    anything but ASCII white space. Null languages, sources or domains are leaves named ''. Rows without tokens cost nothing
-    and go with the epochs that their leaf's budget enters. Equal rows (id and text) are taken together. Empty tables give no rows.
+    By the ratio of what a node holds to its weight, those filled come first: a node is filled if what is left after the nodes
+    before it, dealt by weight to it and those after it, is at least what it holds.
     """
-    spark = docs.sparkSession
+    open_ = (F.col("weight") > 0) & (F.col("holds") > 0)
+    ordered = W.partitionBy(*parent, "open").orderBy(F.try_divide("holds", "weight"), *[c for c in LEAF if c in nodes.columns and c not in parent])
+    n = nodes.withColumn("open", open_)
+    before = F.coalesce(F.sum("holds").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rate = F.try_divide(F.col("budget") - before, F.sum("weight").over(ordered.rowsBetween(0, W.unboundedFollowing)))
+    n = n.withColumn("rate", F.when(F.col("open"), rate)).withColumn("full", F.col("holds") <= F.col("rate") * F.col("weight"))
+    first = F.first(F.when(~F.col("full"), F.col("rate")), ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    got = F.when(~F.col("open"), 0.0).when(F.col("full"), F.col("holds")).otherwise(F.greatest(first, F.lit(0.0)) * F.col("weight"))
+    return n.withColumn("got", got).drop("open", "rate", "full")
+
+
+def budgets(leaves: DataFrame, weights: dict[tuple, float], total: float) -> DataFrame:
+    """leaves (LEAF columns, tokens, holds) with their budget. weights: by any path prefix, 1 where absent; total: tokens wanted."""
+    spark, held = leaves.sparkSession, leaves
+    for k in range(1, 4):
+        own = [(*path, float(w)) for path, w in weights.items() if len(path) == k]
+        names = LEAF[:k]
+        table = spark.createDataFrame(own, ", ".join([*(f"{c} string" for c in names), f"w{k} double"]))
+        held = held.join(F.broadcast(table), names, "left").withColumn(f"w{k}", F.coalesce(f"w{k}", F.lit(1.0)))  # as many rows as weights given
+    usable = F.col("holds")
+    for k in (3, 2, 1):
+        held = held.withColumn(f"u{k}", usable)  # what of the leaf counts for its node at depth k
+        usable = F.when(F.col(f"w{k}") > 0, usable).otherwise(0.0)
+    held = written(held.withColumn("u0", usable), "mix-leaves")
+    root = held.agg(F.coalesce(F.least(F.lit(float(total)), F.sum("u0")), F.lit(0.0)).alias("budget"))
+    upper, keys = root, []
+    for k in range(1, 4):
+        names = LEAF[:k]
+        nodes = held.groupBy(*names).agg(F.sum(f"u{k}").alias("holds"), F.first(f"w{k}").alias("weight"))
+        nodes = nodes.join(sized(upper), keys) if keys else nodes.crossJoin(F.broadcast(root))  # the root is one row
+        upper, keys = written(share(nodes, keys).select(*names, F.col("got").alias("budget")), "mix-budgets"), names
+    return leaves.join(sized(upper), LEAF)
+
+
+def _leaf_columns(docs: DataFrame, domain, lang_col: str, source_col: str) -> list:
     domain = domain if domain is not None else F.when(F.col(source_col).rlike("[02468]$"), "even").otherwise("odd")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    rows = docs.withColumns({"__domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce(F.col(lang_col), F.lit("")), "__source": F.coalesce(F.col(source_col), F.lit("")), "__id": F.col(id_col), "__th": F.xxhash64(text), "__n_tokens": tokens})
-    narrow = written(rows.select(*LEAF, "__id", "__th", "__n_tokens"), "mix-tokens")
-
-    sizes = {tuple(r[c] for c in LEAF): float(r["t"]) for r in narrow.groupBy(*LEAF).agg(F.sum("__n_tokens").alias("t")).collect()}  # one row a leaf
-    got = budgets({k: v * epochs for k, v in sizes.items()}, weights or {}, fraction * sum(sizes.values()))
-    # Of each leaf: whole epochs, and how many tokens of the next one.
-    plan = [(*k, int(b // sizes[k]) if sizes[k] else 0, float(b - (b // sizes[k]) * sizes[k]) if sizes[k] else 0.0, float(b)) for k, b in got.items()]
-    schema = "__domain string, __lang string, __source string, __whole int, __rest double, __budget double"
-    leaf = F.broadcast(spark.createDataFrame(plan, schema))  # one row a leaf
-
-    h = F.xxhash64(F.lit(seed), F.col("__whole"), F.col("__id"), F.col("__th"))
-    placed = narrow.join(leaf, LEAF).where("__rest > 0").withColumn("__h", h)
-    before = W.partitionBy(*LEAF).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    return [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(LEAF, (domain, F.col(lang_col), F.col(source_col)), strict=True)]
+
+
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def _prefixes(narrow: DataFrame, weights: dict[tuple, float], fraction: float, epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of narrow (LEAF columns, id, th, n_tokens): (LEAF, whole, rest, budget) of each leaf, and (LEAF, stop) where an epoch is taken in part."""
+    sizes = narrow.groupBy(*LEAF).agg(F.sum("n_tokens").cast("double").alias("tokens")).withColumn("holds", F.col("tokens") * epochs)
+    sizes = written(sizes, "mix-sizes")
+    total = fraction * (sizes.agg(F.sum("tokens")).first()[0] or 0.0)
+    whole = F.when(F.col("tokens") > 0, F.floor(F.try_divide("budget", "tokens"))).otherwise(0).cast("int")
+    leaf = budgets(sizes, weights, total).withColumn("whole", whole)
+    leaf = written(leaf.select(*LEAF, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"), "budget"), "mix-plan")
+
+    placed = narrow.join(sized(leaf.where("rest > 0").select(*LEAF, "whole", "rest")), LEAF).withColumn("h", _order(seed))
+    before = W.partitionBy(*LEAF).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
 
     def running(sums: DataFrame) -> DataFrame:
-        return sums.withColumn("__before", F.col("__from") + F.coalesce(F.sum("t").over(before), F.lit(0)))
+        return sums.withColumn("before", F.col("from") + F.coalesce(F.sum("t").over(before), F.lit(0)))
 
     edge = None
     for bits in LEVELS:
-        here = placed.withColumn("__from", F.lit(0)) if edge is None else placed.join(edge, LEAF).where(F.shiftright("__h", bits + 8) == F.col("__p")).drop("__p")
-        sums = here.groupBy(*LEAF, "__rest", "__from", F.shiftright("__h", bits).alias("__p")).agg(F.sum("__n_tokens").alias("t"))  # at most 256 rows a leaf
-        found = running(sums).where("__before < __rest and __before + t >= __rest").select(*LEAF, "__p", F.col("__before").alias("__from"))
-        edge = F.broadcast(written(found, "mix-edges"))  # one row a leaf
-    last = placed.join(edge, LEAF).where(F.shiftright("__h", LEVELS[-1]) == F.col("__p")).drop("__p")
-    last = running(last.groupBy(*LEAF, "__rest", "__from", F.col("__h").alias("__p")).agg(F.sum("__n_tokens").alias("t")))
-    stop = F.broadcast(written(last.where("__before < __rest").groupBy(*LEAF).agg(F.max("__p").alias("__stop")), "mix-stops"))  # one row a leaf
+        here = placed.withColumn("from", F.lit(0)) if edge is None else placed.join(edge, LEAF).where(F.shiftright("h", bits + 8) == F.col("p")).drop("p")
+        sums = here.groupBy(*LEAF, "rest", "from", F.shiftright("h", bits).alias("p")).agg(F.sum("n_tokens").alias("t"))  # at most 256 rows a leaf
+        edge = sized(written(running(sums).where("before < rest and before + t >= rest").select(*LEAF, "p", F.col("before").alias("from")), "mix-edges"))
+    last = placed.join(edge, LEAF).where(F.shiftright("h", LEVELS[-1]) == F.col("p")).drop("p")
+    last = running(last.groupBy(*LEAF, "rest", "from", F.col("h").alias("p")).agg(F.sum("n_tokens").alias("t")))
+    return leaf, written(last.where("before < rest").groupBy(*LEAF).agg(F.max("p").alias("stop")), "mix-stops")
+
+
+def _order(seed: int):
+    return F.xxhash64(F.lit(seed), F.col("whole"), F.col("id"), F.col("th"))
 
-    out = rows.join(leaf, LEAF).join(stop, LEAF, "left")
-    return out.withColumn("__copies", F.col("__whole") + F.coalesce(h <= F.col("__stop"), F.lit(False)).cast("int")).select(*docs.columns, "__domain", "__n_tokens", "__copies", "__budget")
+
+def _taken(rows: DataFrame, leaf: DataFrame, stop: DataFrame, seed: int) -> DataFrame:
+    out = rows.join(sized(leaf), LEAF).join(sized(stop), LEAF, "left")
+    return out.withColumn("copies", F.col("whole") + F.coalesce(_order(seed) <= F.col("stop"), F.lit(False)).cast("int"))
+
+
+def _narrow(docs: DataFrame, domain, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    tokens = F.regexp_count(_text(text_col), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    rows = docs.select(*_leaf_columns(docs, domain, lang_col, source_col), F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("th"), tokens.alias("n_tokens"), F.col(lang_col).alias("own_lang"), F.col(source_col).alias("own_source"))
+    return written(rows, "mix-tokens")
+
+
+def mix(docs: DataFrame, weights: dict[tuple, float] | None = None, fraction: float = 0.8, epochs: int = 4, seed: int = 17, domain=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(id, domain, lang, source, n_tokens, copies, budget): every row of docs with the number of epochs that take it, and its leaf's budget.
+
+    fraction: tokens wanted, of those there are. weights: by (domain,), (domain, lang) or (domain, lang, source); 1 where
+    absent. domain: a column of docs' leaf columns; by default the source's last digit even or odd. Tokens are runs of
+    anything but ASCII white space, counted over whole texts. Null languages, sources or domains are leaves named ''. Rows
+    without tokens cost nothing and go with the epochs that their leaf's budget enters. Equal rows (id and text) are taken
+    together, null ids are told apart by their texts. Other columns are not read, whatever their names. Empty tables give no rows.
+    """
+    narrow = _narrow(docs, domain, id_col, text_col, lang_col, source_col)
+    out = _taken(narrow, *_prefixes(narrow, weights or {}, fraction, epochs, seed), seed)
+    return out.select("id", "domain", F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), "n_tokens", "copies", "budget")
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies of each row of docs."""
-    r = mix(docs.select("doc_id", "text", "lang", "source"), **how)
-    return r.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__n_tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return mix(docs, **how).select(F.col("id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "copies")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mixture: each row as often as its epochs take it; same columns."""
-    r = mix(docs, **how).where("__copies > 0")
-    return r.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights: dict[tuple, float] | None = None, fraction: float = 0.8, epochs: int = 4, seed: int = 17, domain=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """docs as the mixture: each row as often as its epochs take it; same columns, of any names. See mix."""
+    narrow = _narrow(docs, domain, id_col, text_col, lang_col, source_col)
+    leaf, stop = _prefixes(narrow, weights or {}, fraction, epochs, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, *_leaf_columns(docs, domain, lang_col, source_col), F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("th"))
+    out = _taken(rows, leaf, stop, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

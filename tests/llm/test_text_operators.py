@@ -473,33 +473,87 @@ def test_license_base_columns_in_sql(spark):
     assert [tuple(r) for r in got.collect()] == con.sql(sql).fetchall()
 
 
-def test_share_redistributes_among_siblings_first():
-    assert mixing.share(10, [(1, 2), (1, 100)]) == [2, 8]
-    assert sum(mixing.share(10, [(1, 2), (3, 4)])) == 6 and mixing.share(9, [(0, 5), (1, 20)]) == [0, 9]
+def split(budget, children):
+    """Budget among (weight, capacity) by weight, round after round: what a full child cannot take is dealt again."""
+    got, open_ = [0.0] * len(children), [i for i, (w, c) in enumerate(children) if w > 0 and c > 0]
+    left = budget
+    while open_ and left > 1e-9:
+        total = sum(children[i][0] for i in open_)
+        full = [i for i in open_ if got[i] + left * children[i][0] / total >= children[i][1]]
+        if not full:
+            for i in open_:
+                got[i] += left * children[i][0] / total
+            return got
+        left -= sum(children[i][1] - got[i] for i in full)
+        for i in full:
+            got[i] = children[i][1]
+        open_ = [i for i in open_ if i not in full]
+    return got
+
+
+def naive_budgets(leaves, weights, total):
+    usable = lambda path: sum(c for p, c in leaves.items() if p[: len(path)] == path and all(weights.get(p[:k], 1.0) > 0 for k in range(len(path) + 1, 4)))
+    out = {}
+
+    def down(path, budget):
+        if len(path) == 3:
+            out[path] = budget
+            return
+        names = sorted({p[: len(path) + 1] for p in leaves if p[: len(path)] == path})
+        for child, own in zip(names, split(budget, [(weights.get(c, 1.0), usable(c)) for c in names]), strict=True):
+            down(child, own)
+
+    down((), min(total, usable(())))
+    return out
+
+
+def test_budgets_redistribute_among_siblings_first(spark):
+    def got(leaves, weights, total):
+        df = spark.createDataFrame([(*k, v, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens double, holds double")
+        return {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, weights, total).collect()}
+
     leaves = {("a", "x", "1"): 1.0, ("a", "x", "2"): 100.0, ("a", "y", "1"): 100.0, ("b", "x", "1"): 100.0}
-    got = mixing.budgets(leaves, {}, 80)
-    assert got[("a", "x", "1")] == 1 and got[("a", "x", "2")] == 19 and got[("a", "y", "1")] == 20 and got[("b", "x", "1")] == 40
-    assert mixing.budgets({}, {}, 5) == {}
+    assert got(leaves, {}, 80) == {("a", "x", "1"): 1, ("a", "x", "2"): 19, ("a", "y", "1"): 20, ("b", "x", "1"): 40}
+    assert got({}, {}, 5) == {}
+    rng = random.Random(3)
+    for _ in range(2):
+        leaves = {(f"d{rng.randint(0, 3)}", f"l{rng.randint(0, 4)}", f"s{i}"): float(rng.choice([0, 1, 5, 60, 500, 7000])) for i in range(60)}
+        weights = {p[: rng.randint(1, 3)]: rng.choice([0.0, 0.1, 2.0, 30.0]) for p in leaves if rng.random() < 0.4}
+        total = rng.random() * sum(leaves.values())
+        want, own = naive_budgets(leaves, weights, total), got(leaves, weights, total)
+        assert own.keys() == want.keys() and all(abs(own[k] - want[k]) < 1e-6 * (1 + want[k]) for k in want)
 
 
 def test_mixing(spark):
+    """Budgets against the naive ones, and every leaf's token-prefix replayed by brute force."""
     rng = random.Random(6)
     texts = [" ".join("w" for _ in range(rng.randint(0, 30))) for _ in range(200)] + ODD
-    df = docs(spark, texts)
-    rows = mixing.mix(df, {("even",): 3.0}, fraction=0.9, epochs=3, seed=5).select("doc_id", "__n_tokens", "__copies", "__budget", "__domain", "lang", "source").collect()
-    assert len(rows) == len(texts) and {r.doc_id: r["__n_tokens"] for r in rows} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    df, weights = docs(spark, texts), {("even",): 3.0, ("odd", "en", "src1"): 0.2}
+    rows = mixing.mix(df, weights, fraction=0.9, epochs=3, seed=5).collect()
+    assert len(rows) == len(texts) and {r.id: r.n_tokens for r in rows} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
     leaves = {}
     for r in rows:
-        leaves.setdefault((r["__domain"], r.lang, r.source), []).append(r)
-    sizes = {k: sum(r["__n_tokens"] for r in v) for k, v in leaves.items()}
-    want = mixing.budgets({k: 3.0 * v for k, v in sizes.items()}, {("even",): 3.0}, 0.9 * sum(sizes.values()))
+        leaves.setdefault((r.domain, r.lang, r.source), []).append(r)
+    sizes = {k: sum(r.n_tokens for r in v) for k, v in leaves.items()}
+    want = naive_budgets({k: 3.0 * v for k, v in sizes.items()}, weights, 0.9 * sum(sizes.values()))
+    parts = 0
     for k, v in leaves.items():
-        taken = sum(r["__copies"] * r["__n_tokens"] for r in v)
-        assert v[0]["__budget"] == want[k] and want[k] <= taken + 1e-6 and taken - want[k] <= max(r["__n_tokens"] for r in v)
-    out = mixing.mixed(df, weights={("even",): 3.0}, fraction=0.9)
-    assert out.columns == df.columns and mixing.mixed(docs(spark, [])).count() == 0
-    again = mixing.mix(df.repartition(7), {("even",): 3.0}, fraction=0.9, epochs=3, seed=5).select("doc_id", "__copies").collect()
-    assert {r.doc_id: r["__copies"] for r in again} == {r.doc_id: r["__copies"] for r in rows}
+        budget = v[0].budget
+        assert abs(budget - want[k]) < 1e-6 * (1 + want[k])
+        whole = int(budget / sizes[k])
+        order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(5), F.lit(whole), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("h")).collect()}
+        left, copies = budget - whole * sizes[k], {}
+        for r in sorted(v, key=lambda r: order[r.id]):
+            copies[r.id] = whole + (left > 0)
+            parts += left > 0
+            left -= r.n_tokens
+        assert {r.id: r.copies for r in v} == copies
+    assert parts > 0
+    out = mixing.mixed(df, weights=weights, fraction=0.9, epochs=3, seed=5)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.id for r in rows for _ in range(r.copies))
+    assert mixing.mixed(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+    again = mixing.mix(df.repartition(7), weights, fraction=0.9, epochs=3, seed=5).collect()
+    assert {r.id: r.copies for r in again} == {r.id: r.copies for r in rows}
 
 
 def test_quality(spark):
