@@ -7,20 +7,22 @@ without regard to them, where windows would replicate every document everywhere.
 first n - ceil(0.8 n) + 1 of its n shingles in one fixed order. Linked documents share a landmark. Among the documents that
 hold a landmark, the one of the smallest hash is its pivot: a document, the same for most landmarks of a group of copies. The
 region of a pivot is all documents that hold one of its landmarks, so a document without company is in no region, and linked
-documents share a region. Every document's exact distance to the pivots of its regions is found: one pair a document and
-pivot, never all pairs of a region. Documents within 0.2 of a pivot are one component with it; the pivot itself needs no further comparison there.
+documents share a region. Every document's distance to the pivots of its regions is found: one pair a document and pivot, never
+all pairs of a region. Parity sketches, whose Hamming distance never exceeds the symmetric difference, bound it from below;
+where they leave a link possible it is exact, elsewhere it lies between the bound and 1, and windows use both ends. Documents within 0.2 of a pivot are one component with it; the pivot itself needs no further comparison there.
 
 Recursion. A region whose documents are of one component already is done. Any other of more than REGION documents is split:
 PIVOTS of its documents outside the largest component become pivots, the distances of all its documents to them are found
 and link what they link, and the documents go to the Voronoi region of their nearest pivot, at distance d, and to the region
 of every pivot within d + 0.2. Of two linked documents let x be the one nearer to its own nearest pivot p: by the triangle
 inequality the other is at most d(x) + 0.2 from p, so it is in the region of p too. Regions split until they hold REGION
-documents or splitting no longer shrinks them (documents at equal distances from each other).
+documents. Where a split would not halve the pairs (documents at equal distances from each other) the region stays whole.
 
 Join. In what remains, documents of different components are compared where the triangle window of the region's pivot (their
-distances to it differ by at most 0.2) and their sizes allow a link; parity sketches, whose Hamming distance never exceeds
-the symmetric difference, reject most, and the rest is tested on the full sets. In a region that could not be split, the
-documents outside the largest component are a stated query set and meet the region in blocks.
+distances to it differ by at most 0.2) and their sizes allow a link; sketches reject most, and the rest is tested on the full
+sets. In a region that could not be split, the
+documents outside the largest component are a stated query set and meet the region in blocks. Each of them first gives its
+few most promising pairs; in later rounds it gives more, if it is still apart, until no document has untested pairs.
 
 The order of shingles is by frequency class, then hash: shingles in more than rare documents come later, the more frequent
 the later. Any fixed order gives the same result; this one keeps regions small. Documents with equal sets are one point.
@@ -42,7 +44,9 @@ FREQUENT = 4_000_000
 #: New pivots of a region that is split, and documents of a region that is not.
 PIVOTS, REGION = 8, 128
 #: Rows of a region that could not be split with which the rows of smaller components are compared in one group.
-BLOCK = 256
+BLOCK = 2048
+#: Pairs that an asking row gives in the first round of the join, and by how much later rounds raise it.
+FIRST, RAISE = 3, 16
 #: Rows of several regions that are joined in one Python group.
 GROUP_ROWS = 20_000
 #: The distance of a link, and what floating point may add to it.
@@ -187,6 +191,19 @@ def _stars_of_bucket(pdf):
     return pd.DataFrame({"x": rid[own], "q": pivot[own]}).drop_duplicates()
 
 
+def _bounds(batches):
+    """(x, q, lo, maybe): a lower bound of the distance from the sketches and sizes, and whether a link is possible."""
+    import pyarrow as pa
+
+    for b in batches:
+        lo, maybe = [], []
+        for n, m, a, c in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            d = max(apart(a, c), abs(n - m))
+            lo.append(2 * d / (n + m + d))
+            maybe.append(9 * d <= n + m)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lo, pa.float64()), pa.array(maybe, pa.bool_())], ["x", "q", "lo", "maybe"])
+
+
 def _exact(batches):
     """(x, q, d, linked) from the full sets."""
     import pyarrow as pa
@@ -211,19 +228,25 @@ def _hashes(batches):
 
 
 def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, q, d, linked) of each pair of points, exactly. A point may be the q of any number of pairs."""
-    ids = pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("q").alias("rid"))).distinct()
+    """(x, q, lo, hi, linked) of each pair of points: the exact distance wherever the sketches allow a link, else the sketches' bound and 1. A point may be the q of any number of pairs."""
+    side = lambda c, a, n: points.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("sketch").alias(a))
+    near = salted(pairs.select("x", "q").join(side("x", "a", "an"), "x"), side("q", "b", "bn"), "q", "x", pairs).select("x", "q", "an", "bn", "a", "b")
+    near = written(near.mapInArrow(lean(_bounds), "x long, q long, lo double, maybe boolean"), "jaccard-bounds")
+    open_ = near.where("maybe").select("x", "q")
+    ids = open_.select(F.col("x").alias("rid")).unionByName(open_.select(F.col("q").alias("rid"))).distinct()
     ids = written(ids.join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
     sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(lean(_hashes), "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
     sets = written(ids.join(sets, ["id0", "th"]).select("rid", "set"), "jaccard-sets")
-    both = salted(pairs.select("x", "q").join(sets.select(F.col("rid").alias("x"), F.col("set").alias("a")), "x"), sets.select(F.col("rid").alias("q"), F.col("set").alias("b")), "q", "x", pairs)
-    return written(both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean"), "jaccard-measured")
+    both = salted(open_.join(sets.select(F.col("rid").alias("x"), F.col("set").alias("a")), "x"), sets.select(F.col("rid").alias("q"), F.col("set").alias("b")), "q", "x", open_)
+    exact = both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean")
+    out = near.join(exact, ["x", "q"], "left").select("x", "q", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    return written(out, "jaccard-measured")
 
 
-def _near(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j) of rows the sketches allow to link."""
+def _ratio(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs (i, j) of rows, nine times the sketches' bound of the symmetric difference by the sum of the sizes: at most 1 where a link is possible."""
     width = np.array([len(x) for x in sketches])
-    fine = np.zeros(len(i), bool)
+    out = np.zeros(len(i))
     swap = width[i] < width[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     for big, small in np.unique(np.stack([width[i], width[j]]), axis=1).T.tolist():
@@ -233,34 +256,46 @@ def _near(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
             while a.shape[1] > small:
                 a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
             apart_ = np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ b.view(np.uint64)).sum(1, dtype=np.int64)
-            fine[some] = 9 * apart_ <= n[i[some]] + n[j[some]]
-    return fine
+            out[some] = 9 * apart_ / (n[i[some]] + n[j[some]])
+    return out
 
 
-def _block(pdf):
-    """(x, q) of rows that ask and rows of the same chunk of their region that may link: other component, sizes, window and sketches allow it."""
+def _block(most: int):
+    """(x, q, more) of rows that ask and rows of the same chunk of their region that may link: other component, sizes, window and sketches allow it. Each asking row gives its most promising pairs, as many as most says; more: whether it has others."""
+    import pandas as pd
+
+    return lambda pdf: _candidates(pdf, most) if len(pdf) else pd.DataFrame({"x": [], "q": [], "more": []})
+
+
+def _candidates(pdf, most: int):
     import pandas as pd
 
     pdf = pdf.sort_values(["region", "chunk", "asks"])
-    region, chunk, asks, rid, n, d, label, major = (pdf[c].to_numpy() for c in ("region", "chunk", "asks", "rid", "n", "d", "label", "major"))
+    region, chunk, asks, rid, n, low, high, label, major = (pdf[c].to_numpy() for c in ("region", "chunk", "asks", "rid", "n", "lo", "hi", "label", "major"))
     n, sketches = n.astype(np.int64), pdf["sketch"].tolist()
     begin = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (chunk[1:] != chunk[:-1])])
     out, held, waiting = [], [], 0
 
     def test():
         i, j = (np.concatenate(v) for v in zip(*held, strict=True))
-        fine = _near(sketches, n, i, j)
-        p, r = rid[i[fine]], rid[j[fine]]
-        out.append(pd.DataFrame({"x": np.minimum(p, r), "q": np.maximum(p, r)}))
+        ratio = _ratio(sketches, n, i, j)
+        fine = np.flatnonzero(ratio <= 1)
+        fine = fine[np.lexsort((ratio[fine], i[fine]))]
+        i, j = i[fine], j[fine]
+        first = np.searchsorted(i, i)
+        place, count = np.arange(len(i)) - first, np.searchsorted(i, i, "right") - first
+        on = place < most
+        p, r = rid[i[on]], rid[j[on]]
+        out.append(pd.DataFrame({"x": np.minimum(p, r), "q": np.maximum(p, r), "more": (count > most)[on]}))
 
     for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(rid)], strict=True):
         mid = lo + int(np.searchsorted(asks[lo:hi], True))
         rows = np.arange(lo, mid)
-        for at in range(mid, hi, 4096):
-            own = np.arange(at, min(at + 4096, hi))
+        for at in range(mid, hi, 512):
+            own = np.arange(at, min(at + 512, hi))
             a, b = n[own][:, None], n[rows][None, :]
             ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * np.abs(a - b) <= a + b)
-            ok &= np.abs(d[own][:, None] - d[rows][None, :]) <= NEAR
+            ok &= (low[own][:, None] - high[rows][None, :] <= NEAR) & (low[rows][None, :] - high[own][:, None] <= NEAR)
             ok &= (label[own][:, None] != label[rows][None, :]) & ((label[rows] == major[rows])[None, :] | (rid[own][:, None] < rid[rows][None, :]))
             i, j = np.nonzero(ok)
             held.append((own[i], rows[j]))
@@ -270,7 +305,7 @@ def _block(pdf):
                 held, waiting = [], 0
     if held:
         test()
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"x": np.zeros(0, np.int64), "q": np.zeros(0, np.int64)})
+    return pd.concat(out) if out else pd.DataFrame({"x": np.zeros(0, np.int64), "q": np.zeros(0, np.int64), "more": np.zeros(0, bool)})
 
 
 def _shared_landmarks(held: DataFrame) -> DataFrame:
@@ -286,7 +321,7 @@ def _named(parts: DataFrame) -> DataFrame:
 
 
 def _unsettled(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows (region, rid, d) of regions of several components, with their component (label), the region's largest (major) and its rows (size). Pivots are no rows: all their distances are known."""
+    """The rows (region, rid, lo, hi) of regions of several components, with their component (label), the region's largest (major) and its rows (size). Pivots are no rows: all their distances are known."""
     inside = regions.join(_named(parts), F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid")).drop("node", "component")
     inside = written(inside, "jaccard-inside")
     several = inside.groupBy("region", "label").count().groupBy("region").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("size"))
@@ -299,16 +334,20 @@ def _split(rows: DataFrame, points: DataFrame, docs: DataFrame) -> tuple[DataFra
     least = [F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("h"), "rid")).alias(f"p{k}") for k in range(PIVOTS)]
     chosen = rows.where("label <> major").groupBy("region").agg(*least)
     chosen = written(chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{k}.rid" for k in range(PIVOTS)]))).alias("q")), "jaccard-chosen")
-    own = written(rows.join(sized(chosen), "region").select("region", "size", "flat", F.col("rid").alias("x"), "q", F.col("d").alias("to_own")), "jaccard-asked")
+    own = written(rows.join(sized(chosen), "region").select("region", "size", "flat", F.col("rid").alias("x"), "q", F.struct("lo", "hi", F.lit(-1).cast("long").alias("q")).alias("to_own")), "jaccard-asked")
     measured = _measure(own.where("x <> q").select("x", "q").distinct(), points, docs)
-    known = own.join(measured.select("x", "q", "d"), ["x", "q"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    all_ = F.concat(F.collect_list(F.struct("d", "q")), F.array(F.struct(F.first("to_own").alias("d"), F.lit(-1).cast("long").alias("q"))))
+    known = own.join(measured.select("x", "q", "lo", "hi"), ["x", "q"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0))})
+    all_ = F.concat(F.collect_list(F.struct("lo", "hi", "q")), F.array(F.first("to_own")))
     each = known.groupBy("region", F.col("x").alias("rid")).agg(F.first("size").alias("parent"), all_.alias("to"), F.max(F.col("x") == F.col("q")).alias("pivot")).where("not pivot")
-    nearest = F.array_min(F.transform("to", lambda t: t["d"]))
-    kept = each.withColumn("nearest", nearest).select("region", "rid", "parent", F.explode(F.filter("to", lambda t: t["d"] <= F.col("nearest") + NEAR)).alias("t"))
-    out = written(kept.select(F.xxhash64("region", "t.q").alias("region"), "rid", F.col("t.d").alias("d"), "parent"), "jaccard-split")
-    size = out.groupBy("region").agg((10 * F.count(F.lit(1)) > 8 * F.first("parent")).alias("flat"))
-    return written(out.drop("parent").join(sized(written(size, "jaccard-sizes")), "region"), "jaccard-regions"), measured
+    nearest = F.array_min(F.transform("to", lambda t: t["hi"]))
+    kept = each.withColumn("nearest", nearest).select("region", "rid", "parent", F.explode(F.filter("to", lambda t: t["lo"] <= F.col("nearest") + NEAR)).alias("t"))
+    out = kept.select(F.xxhash64("region", "t.q").alias("part"), "rid", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "region", "parent")
+    out = written(out, "jaccard-split")
+    parts = out.groupBy("region", "parent", "part").count().groupBy("region", "parent").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+    shrunk = written(parts.select("region", (2 * F.col("work") <= F.col("parent").cast("double") * F.col("parent")).alias("shrunk")), "jaccard-shrunk")
+    dealt = out.join(sized(shrunk.where("shrunk").select("region")), "region", "left_semi").select(F.col("part").alias("region"), "rid", "lo", "hi", F.lit(False).alias("flat"))
+    whole = rows.join(sized(shrunk.where("not shrunk").select("region")), "region", "left_semi").select("region", "rid", "lo", "hi", F.lit(True).alias("flat"))
+    return written(dealt.unionByName(whole), "jaccard-regions"), measured
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 32, region: int = REGION, row_col: str | None = None) -> DataFrame:
@@ -341,7 +380,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = written(rare_stars.unionByName(_shared_landmarks(held)).distinct(), "jaccard-stars")
     measured = _measure(stars, points, docs)
     parts = components(measured.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b")))
-    regions = measured.select(F.col("q").alias("region"), F.col("x").alias("rid"), "d", F.lit(False).alias("flat"))
+    regions = measured.select(F.col("q").alias("region"), F.col("x").alias("rid"), "lo", "hi", F.lit(False).alias("flat"))
 
     def merged(links: DataFrame) -> DataFrame:
         return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.where("linked").select(F.col("x").alias("a"), F.col("q").alias("b"))))
@@ -350,7 +389,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = None
     while True:
         inside = written(_unsettled(regions, parts), "jaccard-unsettled")
-        done = inside.where((F.col("size") <= region) | F.col("flat")).select("region", "rid", "d")
+        done = inside.where((F.col("size") <= region) | F.col("flat")).select("region", "rid", "lo", "hi")
         final = done if final is None else final.unionByName(done)
         large = inside.where((F.col("size") > region) & ~F.col("flat"))
         if large.isEmpty():
@@ -358,17 +397,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         regions, measured = _split(large, points, docs)
         parts = merged(measured)
 
-    # Join of what is left.
-    inside = _unsettled(final, parts)
-    rows = inside.join(points.select("rid", "n", "sketch"), "rid").withColumns({"asks": F.lit(False), "chunks": F.ceil(F.col("size") / BLOCK).cast("int")})
-    rows = written(rows, "jaccard-rows")
-    asks = rows.where("label <> major").withColumns({"asks": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
-    groups = max(partitions(rows.sparkSession), rows.count() // GROUP_ROWS)
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("region", "chunk"), F.lit(groups)))
-    cross = written(dealt.groupBy("group").applyInPandas(_block, "x long, q long").distinct(), "jaccard-cross")
-    if not cross.isEmpty():
-        parts = merged(_measure(cross, points, docs))
+    # Join of what is left, in rounds: pairs whose rows became one component meanwhile are never made.
+    most, tested = FIRST, None
+    while True:
+        rows = _unsettled(final, parts).join(points.select("rid", "n", "sketch"), "rid").withColumns({"asks": F.lit(False), "chunks": F.ceil(F.col("size") / BLOCK).cast("int")})
+        rows = written(rows, "jaccard-rows")
+        asks = rows.where("label <> major").withColumns({"asks": F.lit(True), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+        dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")).unionByName(asks)
+        groups = max(partitions(rows.sparkSession), rows.count() // GROUP_ROWS)
+        dealt = dealt.withColumn("group", F.pmod(F.xxhash64("region", "chunk"), F.lit(groups)))
+        cross = written(dealt.groupBy("group").applyInPandas(_block(most), "x long, q long, more boolean").groupBy("x", "q").agg(F.max("more").alias("more")), "jaccard-cross")
+        new = cross.select("x", "q") if tested is None else cross.select("x", "q").join(tested, ["x", "q"], "left_anti")
+        new = written(new, "jaccard-new")
+        if not new.isEmpty():
+            parts = merged(_measure(new, points, docs))
+        if cross.where("more").isEmpty():
+            break
+        tested = new if tested is None else tested.unionByName(new)
+        most *= RAISE
 
     reach = written(members.join(parts, F.col("point") == F.col("node"), "left").select("rid", "id", "n", F.coalesce("component", "point").alias("c")), "jaccard-reach")
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("low")
