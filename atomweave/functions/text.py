@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that searches leave out.
-STOPWORDS = tuple("a an and are as at be been being but by can could do does for from if in is it its me my no not of on or our please should than that the then these this those to was we were what when where which who will with would yes you your".split())
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "do", "does", "for", "from", "if", "in", "is", "it", "its", "me", "my", "no", "not", "of", "on", "or", "our", "please", "should", "than", "that", "the", "then", "these", "this", "those", "to", "was", "we", "were", "what", "when", "where", "which", "who", "will", "with", "would", "yes", "you", "your")
 WORD = "[a-z0-9][a-z0-9_-]*"
 WHITE = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Prefixes of entities that name no topic; prefixes of accessions.

@@ -219,20 +219,38 @@ def mmr_order(rel: list[float], words: list[set], lam: float = 0.7) -> list[int]
     return out
 
 
+def _determinant(m) -> float:
+    """By elimination with row exchange; 0 as soon as no pivot of a column exceeds 1e-15."""
+    import numpy as np
+
+    m, value = np.array(m, float), 1.0
+    for k in range(len(m)):
+        top = k + int(np.abs(m[k:, k]).argmax())
+        if abs(m[top, k]) <= 1e-15:
+            return 0.0
+        if top != k:
+            m[[k, top]] = m[[top, k]]
+            value = -value
+        value *= m[k, k]
+        m[k + 1 :, k:] -= np.outer(m[k + 1 :, k] / m[k, k], m[k, k:])
+    return float(value)
+
+
 def dpp_order(rel: list[float], words: list[set], k: int | None = None) -> list[int]:
-    """Greedy MAP of a determinantal process with kernel rel_i rel_j likeness; what adds nothing follows in order."""
+    """Greedy MAP of a determinantal process with kernel rel_i rel_j likeness; what adds nothing follows in order. An item without words is like none, itself included."""
     import numpy as np
 
     n = len(rel)
-    kern = np.array([[rel[i] * rel[j] * (1.0 if i == j else _alike(words[i], words[j])) for j in range(n)] for i in range(n)])
+    if n < 2:
+        return list(range(min(k if k is not None else n, n)))
+    kern = np.array([[rel[i] * rel[j] * (float(bool(words[i])) if i == j else _alike(words[i], words[j])) for j in range(n)] for i in range(n)])
     out: list[int] = []
-    while len(out) < min(k or n, n):
+    while len(out) < min(k if k is not None else n, n):
         best, value = None, 0.0
         for i in range(n):
             if i not in out:
                 own = [*out, i]
-                det = float(np.linalg.det(kern[np.ix_(own, own)]))
-                det = 0.0 if abs(det) <= 1e-15 else det
+                det = _determinant(kern[np.ix_(own, own)])
                 if best is None or det > value:
                     best, value = i, det
         out.append(best)

@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="atomweave-")

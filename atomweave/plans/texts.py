@@ -320,7 +320,11 @@ def _all(spark, stream, name: str, mode: str):
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="atomweave-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="atomweave-")
     at = f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
     def keep(batch, number):
@@ -341,14 +345,25 @@ def stream_windowed_counts(spark, d):
     return r.groupBy(F.unix_micros("window.start").alias("day_us"), "event_type").agg(F.max("n").alias("n"))
 
 
-@both("stream_hold_window", "WITH e AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, 1 AS held FROM e")
+@both(
+    "stream_hold_window",
+    """WITH RECURSIVE e AS (
+        SELECT DISTINCT user_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)) AS ts_us FROM events WHERE ts IS NOT NULL
+    ), p AS (
+        SELECT user_id, event_type, min(ts_us) AS ts_us FROM e GROUP BY ALL
+        UNION ALL
+        SELECT p.user_id, p.event_type, n.ts_us FROM p, LATERAL (
+            SELECT min(e.ts_us) AS ts_us FROM e WHERE e.user_id IS NOT DISTINCT FROM p.user_id AND e.event_type IS NOT DISTINCT FROM p.event_type AND e.ts_us >= p.ts_us + 3600000000
+        ) n WHERE n.ts_us IS NOT NULL
+    ) SELECT * FROM p""",
+)
 def stream_hold_window(spark, d):
-    """At least one event of each key gets through the hold window."""
+    """The events that the hold window of an hour lets through."""
     from ..streaming.ingest import hold_window
 
-    s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_type", "ts")
+    s = _stream(spark, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     r = _all(spark, hold_window(s, ["user_id", "event_type"]), "hold", "append")
-    return r.select("user_id", "event_type").distinct().withColumn("held", F.lit(1))
+    return r.select("user_id", "event_type", F.unix_micros("ts").alias("ts_us"))
 
 
 @both("stream_ingest_latest", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")

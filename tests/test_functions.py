@@ -15,15 +15,13 @@ def one(spark, col, **values):
 
 PROSE = [
     ("", (0, 0, None, None, 0, 0.0, 0, 0, 0)),
-    ("Reviews open with a reproducibility check.", (6, 1, None, None, 0, 0.0, 0, 0, 0)),
+    ("Parcels arrive with a signed receipt.", (6, 1, None, None, 0, 0.0, 0, 0, 0)),
     ("One thing. Another thing. A third thing.", (7, 3, None, None, 0, 0.0, 0, 0, 0)),
-    ("The header was parsed by the reader.", (7, 1, None, None, 0, 0.0, 1, 0, 0)),
+    ("The bridge was painted by the crew.", (7, 1, None, None, 0, 0.0, 1, 0, 0)),
     ("only family apply early daily", (5, 1, None, None, 0, 0.0, 0, 0, 0)),
     ("quickly and very carefully the reviewer really basically just moved on", (11, 1, 9.76, 18.78, 6, 0.545, 0, 0, 0)),
     ("word " * 20 + ".", (20, 1, 7.41, 101.94, 0, 0.0, 0, 1, 0)),
     ("word " * 30 + ".", (30, 1, 12.41, 91.79, 0, 0.0, 0, 0, 1)),
-    ("Prefer ripgrep over grep for repository search because it respects gitignore.", (11, 1, 12.33, 26.47, 0, 0.0, 0, 0, 0)),
-    ("Tool dumps and fetched bodies are not atoms.", (8, 1, 3.77, 82.39, 0, 0.0, 1, 0, 0)),
 ]
 
 
@@ -73,7 +71,7 @@ def test_set_name(spark, name, want):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("The Parser reads the Header block.", ["Header", "Parser", "The"]), ("Use `ripgrep` not `grep` here.", ["Use", "grep", "ripgrep"]), ("no capitals", []), ("A single A and an AB pair", ["AB"]), ("Mixed `back tick` and Capitalized runs", ["Capitalized", "Mixed", "back tick"]), ("", [])],
+    [("The Ferry leaves the Harbour early.", ["Ferry", "Harbour", "The"]), ("Take `oats` not `rice` today.", ["Take", "oats", "rice"]), ("no capitals", []), ("A single A and an AB pair", ["AB"]), ("Mixed `back tick` and Capitalized runs", ["Capitalized", "Mixed", "back tick"]), ("", [])],
 )
 def test_entities(spark, text, want):
     assert one(spark, T.entities_of(F.col("x")), x=text) == want
@@ -84,7 +82,7 @@ LISTING = "\n".join(["total 48", *[f"-rw-r--r-- 1 x x 0 file{i}" for i in range(
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("", True), ("   ", True), ("Reviews open with a check.", False), ("Run:\n```\nstdout: fine\n```", True), ("```\nnothing named\n```", False), ("<!DOCTYPE html><html></html>", True), (LISTING, True), ("\n".join(LISTING.split("\n")[:5]), False)],
+    [("", True), ("   ", True), ("Parcels arrive with a receipt.", False), ("Run:\n```\nstdout: fine\n```", True), ("```\nnothing named\n```", False), ("<!DOCTYPE html><html></html>", True), (LISTING, True), ("\n".join(LISTING.split("\n")[:5]), False)],
 )
 def test_tool_dump(spark, text, want):
     assert one(spark, safety.is_tool_dump(F.col("x")), x=text) == want
@@ -92,7 +90,7 @@ def test_tool_dump(spark, text, want):
 
 @pytest.mark.parametrize(
     ("line", "want"),
-    [("Remember: always pin the review set", ("lesson", "always pin the review set")), ("Prefer: ripgrep over grep", ("preference", "ripgrep over grep")), ("Remember that: pin it", None), ("Prefer conventional commits", None), ("remember: lowercase still counts", ("lesson", "lowercase still counts")), ("", None), ("Prefer: is it so, really?", None)],
+    [("Remember: always lock the boat shed", ("lesson", "always lock the boat shed")), ("Prefer: oats over rice", ("preference", "oats over rice")), ("Remember that: pin it", None), ("Prefer conventional commits", None), ("remember: lowercase still counts", ("lesson", "lowercase still counts")), ("", None), ("Prefer: is it so, really?", None)],
 )
 def test_claims(spark, line, want):
     got = one(spark, safety.claim_from_user(F.col("x")), x=line)
@@ -114,7 +112,7 @@ def test_secrets(spark, text, want):
 
 
 def test_same_head(spark):
-    rows = [("The default fuse is Borda", "The default fuse is CombMNZ", True), ("a b c d e f g h", "a b c x y z w v", False), ("a b c", "a b c d", False)]
+    rows = [("The evening ferry leaves at six", "The evening ferry leaves at nine", True), ("a b c d e f g h", "a b c x y z w v", False), ("a b c", "a b c d", False)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.select("want", T.same_head(T.head_tokens(F.col("a")), T.head_tokens(F.col("b"))).alias("got")).collect())
 

@@ -81,6 +81,8 @@ def test_mmr_and_dpp():
     assert FU.mmr_order([3.0, 2.9, 1.0], words, 0.3) == [0, 2, 1]
     assert FU.mmr_order([3.0], words[:1]) == [0] and FU.mmr_order([3.0, 2.0], words[:2], 1.0) == [0, 1]
     assert FU.dpp_order([3.0, 2.9, 1.0], words) == [0, 2, 1]
+    assert FU.dpp_order([3.0, 2.0, 1.0], [set(), {"a"}, {"b"}]) == [1, 2, 0]  # without words an item adds nothing
+    assert FU.dpp_order([3.0], [set()]) == [0] and FU.dpp_order([3.0, 2.0], [{"a"}, {"b"}], 0) == []
 
 
 def test_juries():
@@ -175,8 +177,8 @@ def test_jaccard_pairs_exact(spark):
 
 
 CLAIMS = [
-    ("1", "lesson", "The default fuse is Borda", None), ("2", "lesson", "The default fuse is CombMNZ", None), ("3", "preference", "Never force push to main", None), ("4", "preference", "Never force push to a release branch", None),
-    ("5", "correction", "Parser reads wrong", ["Parser"]), ("6", "correction", "All of it differs here", ["Parser"]), ("7", "message", "The default fuse is Borda two", None), ("8", "lesson", "alpha beta gamma delta", ["X"]), ("9", "lesson", "alpha beta gamma delta epsilon", ["Y"]),
+    ("1", "lesson", "The evening ferry leaves at six", None), ("2", "lesson", "The evening ferry leaves at nine", None), ("3", "preference", "Never moor boats at night", None), ("4", "preference", "Never moor boats at a fishing pier", None),
+    ("5", "correction", "Harbour opens late", ["Harbour"]), ("6", "correction", "All of it differs here", ["Harbour"]), ("7", "message", "The evening ferry leaves at six two", None), ("8", "lesson", "alpha beta gamma delta", ["X"]), ("9", "lesson", "alpha beta gamma delta epsilon", ["Y"]),
 ]
 
 
