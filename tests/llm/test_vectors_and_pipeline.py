@@ -149,3 +149,24 @@ def test_pipeline(spark):
     assert 0 < out.count() and set(out.columns) == {"doc_id", "n_tokens", "ids", "decoded_sha256"}
     assert out.where(F.length("ids") != 4 * F.col("n_tokens")).count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, empty texts, repeated rows, extra columns with the operators' own names, and an empty table."""
+    extra = "row_number string, quality_score int, rid string, row int, domain string, copies string, n_tokens int, h string, label string, digest string, rest string"
+    kinds = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    more = ("r", 1, "r", 2, "d", "c", 3, "h", "l", "g", "t")
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, None, None, None), (None, "a b c", "en", "src1", 1), (None, None, None, None, None), (3, "", "en", None, 0), (4, f"{near} x", "en", "src2", 1), (5, f"{near} y", None, "src2", 1), (4, f"{near} x", "en", "src2", 1), (6, "z " * 60_000, "es", "src4", 1)]
+    df = spark.createDataFrame([r + more for r in rows], kinds)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and stage(spark, df.limit(0), SF).count() == 0
+        for r in out.collect():
+            assert tuple(r) in {r + more for r in rows}
+    once = sorted(str(r.doc_id) for r in corpus_pipeline.drop_copies(spark, df, SF).collect())
+    assert once == ["3", "4", "5", "6", "None"]  # of the empty texts the largest id, of the repeated rows one
+    apart = sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect())
+    assert apart == ["1", "3", "4", "6", "None", "None"]
+    ids = corpus_pipeline.tokenize(spark, df, SF)
+    assert ids.count() == len(rows) and corpus_pipeline.tokenize(spark, df.limit(0), SF).count() == 0
