@@ -74,9 +74,41 @@ def atom_tokens(text: Column, entities: Column, stem: bool = False) -> Column:
     return tokens(joined, stem)
 
 
+#: Characters of a gram at most; of a chunk that grams are cut from.
+GRAM, CHUNK = 8, 256
+
+
+def grams(word: Column, least: int = 1) -> Column:
+    """Distinct substrings of least to GRAM characters. Cut from chunks that overlap, so a word of a megabyte takes time in proportion. A null or empty word has none."""
+    step = CHUNK - GRAM + 1
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)), F.lit(step)), lambda i: F.substring(word, i, F.lit(CHUNK)))
+    sizes = F.array(*map(F.lit, range(least, GRAM + 1)))
+
+    def cut(c):
+        at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+        return F.flatten(F.transform(sizes, lambda n: F.filter(F.transform(at, lambda i: F.substring(c, i, n)), lambda x: F.length(x) == n)))
+
+    return F.array_distinct(F.flatten(F.transform(chunks, cut)))
+
+
+def gram_of(word: Column) -> Column:
+    """The gram that every word holding this one has: its first GRAM characters, or all of it."""
+    return F.substring(word, 1, GRAM)
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether one edit at most parts two words. Long ones are compared behind what they share at the start, found by halving: levenshtein takes the product of their lengths."""
+    n, m = F.length(a), F.length(b)
+    bits = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    shared = F.aggregate(bits, F.lit(0), lambda at, x: F.when((at + x <= F.least(n, m)) & (F.left(a, at + x) == F.left(b, at + x)), at + x).otherwise(at))
+    rest = lambda w, skip: F.substring(w, shared + F.lit(1 + skip), F.length(w))
+    far = F.when(n == m, rest(a, 1) == rest(b, 1)).when(n == m + 1, rest(a, 1) == rest(b, 0)).otherwise(rest(a, 0) == rest(b, 1))
+    return F.when(F.abs(n - m) > 1, False).when(F.least(n, m) > CHUNK, far).otherwise(F.levenshtein(a, b, 1).between(0, 1))
+
+
 def token_score(q: Column, h: Column) -> Column:
     """4 equal, 3 prefix, 2 inside, 1.5 one edit; queries under four characters only equal."""
-    near = F.levenshtein(q, h, 1).between(0, 1)
+    near = one_edit(q, h)
     long = F.length(q) >= 4
     return F.when(q == h, 4.0).when(long & F.startswith(h, q), 3.0).when(long & F.contains(h, q), 2.0).when(long & near, 1.5).otherwise(0.0)
 
