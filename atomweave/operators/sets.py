@@ -171,22 +171,55 @@ def fence(cards: DataFrame, live: DataFrame) -> DataFrame:
     return parts.select(T.norm_claim(F.col("p")).alias("wall")).where("wall <> ''").distinct()
 
 
+def _flat(holders: DataFrame) -> DataFrame:
+    """(key, h): the distinct words of holders(key, text); the texts stay behind."""
+    return holders.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("h"))
+
+
+def _short_words(holders: DataFrame, short: DataFrame) -> DataFrame:
+    """(h, n, more): words h of the holders that hold the longest word of a short text n; more where n has other words too.
+
+    The distinct words of the holders, not the holders, meet the short texts, on grams; hashes travel with the grams, and the words decide.
+    """
+    from .retrieval import hinted
+
+    split = F.split("n", " ")
+    probe = F.aggregate(split, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    asked = short.select("n", (F.size(split) > 1).alias("more"), probe.alias("p")).distinct()
+    vocabulary = _flat(holders).select("h").distinct()
+    keys = vocabulary.select(F.xxhash64("h").alias("hid"), F.explode(T.grams(F.col("h"))).alias("key"))
+    near = keys.join(hinted(asked.select("p", T.gram_of(F.col("p")).alias("key")).distinct()), "key").select("hid", "p").distinct()
+    words = vocabulary.withColumn("hid", F.xxhash64("h")).join(near, "hid").where(F.contains("h", F.col("p"))).select("h", "p").distinct()
+    return words.join(asked, "p").select("h", "n", "more")
+
+
+def _holding(holders: DataFrame, long: DataFrame, short: DataFrame) -> DataFrame:
+    """(key, n) of holders(key, text) and the texts n they hold: long(n, k) by a whole inner word k, short(n) by its longest word; n is null where a holder holds a short text of one word."""
+    at = _short_words(holders, short)
+    asks = long.select(F.col("k").alias("h"), "n").unionByName(at.select("h", F.when(F.col("more"), F.col("n")).alias("n"))).distinct()
+    met = _flat(holders).join(asks, "h").select("key", "n").distinct()
+    return met.join(holders, "key").where(F.col("n").isNull() | F.contains("text", F.col("n"))).select("key", "n")
+
+
 def unfenced(claims: DataFrame, wall: DataFrame, words: int = 3) -> DataFrame:
-    """claims(id, text) that no line of the wall covers: neither holds the other.
+    """claims(id, text) that no line of the wall covers: neither holds the other. Null and empty texts go.
 
     If one text holds the other, every word of the held one but its two ends is a whole word of the holder; so candidates meet on the held text's
-    rarest whole inner words instead of by a nested loop. Texts of under three words are checked by a broadcast of the few such lines.
+    longest whole inner word instead of by a nested loop. Texts of under three words meet the holders' distinct words on grams. Words
+    travel with ids; the texts are read again for the candidates alone.
     """
     c = claims.withColumn("n", T.norm_claim(F.col("text"))).where("n <> ''")
     split = lambda x: F.split(x, " ")
-    inner = lambda x: F.when(F.size(split(x)) >= words, F.element_at(F.array_sort(F.slice(split(x), 2, F.greatest(F.size(split(x)) - 2, F.lit(1))), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), 1))
+    longest = lambda x: F.array_max(F.transform(x, lambda w: F.struct(F.length(w).alias("size"), w.alias("w"))))["w"]
+    inner = lambda x: F.when(F.size(split(x)) >= words, longest(F.slice(split(x), 2, F.greatest(F.size(split(x)) - 2, F.lit(1)))))
     a = c.select("id", "n", inner(F.col("n")).alias("k"))
-    b = wall.select("wall", inner(F.col("wall")).alias("k"))
-    within = a.where("k is not null").join(b.select("wall", F.explode(F.array_distinct(split(F.col("wall")))).alias("k")), "k").where(F.contains("wall", F.col("n"))).select("id")
-    holds = a.select("id", "n", F.explode(F.array_distinct(split(F.col("n")))).alias("k")).join(b.where("k is not null"), "k").where(F.contains("n", F.col("wall"))).select("id")
-    from .retrieval import hinted
-
-    short_claims = a.where("k is null").join(hinted(wall.select("wall")), F.contains("wall", F.col("n"))).select("id")
-    short_walls = a.join(hinted(b.where("k is null").select("wall")), F.contains("n", F.col("wall"))).select("id")
-    covered = within.unionByName(holds).unionByName(short_claims).unionByName(short_walls).distinct()
+    b = wall.where("wall <> ''").distinct().select(F.xxhash64("wall").alias("key"), "wall", inner(F.col("wall")).alias("k"))
+    texts, lines = a.select(F.col("id").alias("key"), F.col("n").alias("text")), b.select("key", F.col("wall").alias("text"))
+    # Claims held by a line: of short ones of one word the line's words already tell.
+    long_a, short_a = a.where("k is not null").select("n", "k").distinct(), a.where("k is null").select("n").distinct()
+    held = _holding(lines, long_a, short_a).select("n").unionByName(_short_words(lines, short_a).where("not more").select("n")).where("n is not null").distinct()
+    held = a.join(held, "n", "left_semi").select("id")
+    # Claims that hold a line.
+    hold = _holding(texts, b.where("k is not null").select(F.col("wall").alias("n"), "k"), b.where("k is null").select(F.col("wall").alias("n"))).select(F.col("key").alias("id"))
+    covered = held.unionByName(hold).distinct()
     return claims.join(c.select("id"), "id", "left_semi").join(covered, "id", "left_anti")
