@@ -63,6 +63,20 @@ def upsert(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
     return stored.join(last, ["workspace", "id"], "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def update(stored: DataFrame, patches: DataFrame, now: Column, seq: str = "seq") -> DataFrame:
+    """The stored claims that patches(workspace, id, seq, fields) change, merged and validated again, with error where they are refused.
+
+    A field that is null in a patch stays; of several patches of a claim the highest seq counts. ts never moves, updated is now. Keys and
+    stamps cannot be patched; unknown ids and tombstones change nothing. Rows without error go to upsert; refused ones leave the store as it is.
+    """
+    fixed = {"workspace", "id", "ts", "updated", "tombstone", seq}
+    fields = [c for c in patches.columns if c in stored.columns and c not in fixed]
+    last = patches.groupBy("workspace", "id").agg(F.max_by(F.struct(*fields), seq).alias("__patch"))
+    own = stored.where(~F.coalesce("tombstone", F.lit(False))).join(last, ["workspace", "id"])
+    own = own.withColumns({**{c: F.coalesce(F.col(f"__patch.{c}"), F.col(c)) for c in fields}, "updated": now}).drop("__patch")
+    return validate(own)
+
+
 def restored(atoms: DataFrame) -> DataFrame:
     """ts put back to the earliest of itself, valid_from and source_at."""
     return atoms.withColumn("ts", F.least("ts", F.col("valid_from"), F.col("source_at")))

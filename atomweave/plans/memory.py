@@ -112,6 +112,18 @@ def upsert(spark, d):
     return S.upsert(stored, batch)
 
 
+@both("update", f"""WITH {A}, m AS (SELECT id, kind, ts, CASE WHEN k = 0 THEN '  ' WHEN k = 1 THEN 'moved: ' || text WHEN k = 2 THEN repeat('word ', 101) ELSE text END AS text FROM atoms WHERE NOT coalesce(tombstone, false))
+    SELECT id, text, CAST(ts AS VARCHAR) AS ts, CASE WHEN trim(text) = '' THEN 'atom text is required' WHEN length(text) > 500 THEN 'atom text exceeds soft cap 500' WHEN kind = 'note' THEN 'note atom needs issue, the ticket whose logbook it copies' END AS error FROM m""")
+def update(spark, d):
+    """Two patches a claim, of which the later counts; one of a null text keeps the stored one."""
+    a, k = V.atoms(spark, d), F.col("k")
+    stored = a.select("workspace", "id", "kind", "text", "tombstone", F.col("ts").cast("string").alias("ts"), F.lit(None).cast("string").alias("updated"))
+    text = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("moved: "), "text")).when(k == 2, F.repeat(F.lit("word "), 101))
+    early = a.select("workspace", "id", F.lit(1).alias("seq"), F.lit("first try").alias("text"))
+    later = a.select("workspace", "id", F.lit(2).alias("seq"), text.alias("text"))
+    return S.update(stored, early.unionByName(later), F.lit("2026-01-01T00:00:00.000Z")).select("id", "text", "ts", "error")
+
+
 @both("forget_workspace", f"WITH {A} SELECT workspace, count(*) AS n FROM atoms WHERE workspace <> 'u3' OR tombstone GROUP BY workspace")
 def forget_workspace(spark, d):
     return S.forget(V.atoms(spark, d), "u3").groupBy("workspace").agg(F.count(F.lit(1)).alias("n"))

@@ -46,6 +46,22 @@ QUERIES["index_postings"] = index_postings
 ORACLES["index_postings"] = f"WITH {V.INDEX} SELECT id, len, count(*) AS terms, CAST(max(c) AS BIGINT) AS most FROM p GROUP BY id, len"
 
 
+def index_replace(spark, d):
+    """The index after every document marked toxic gave way to a line that names its source; terms beside the new size."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    marked = docs.join(V.table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = lambda df, c: df.select(F.col("doc_id").alias("id"), T.tokens(F.col(c)).alias("tokens"))
+    i = R.replace(R.build_index(rows(docs, "text")), rows(marked, "text"), rows(marked, "source"))
+    held = i.postings.groupBy("term").agg(F.countDistinct("id").alias("held"))
+    return i.terms.join(held, "term").crossJoin(F.broadcast(i.stats.select("n", "total")))  # one row
+
+
+QUERIES["index_replace"] = index_replace
+ORACLES["index_replace"] = f"""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN coalesce(source, '') ELSE coalesce(text, '') END AS text FROM documents),
+    t AS (SELECT id, {V.words_sql('text')} AS t FROM x), f AS (SELECT id, unnest(t) AS term FROM t)
+    SELECT term, count(DISTINCT id) AS df, CAST(count(*) AS DOUBLE) AS cf, count(DISTINCT id) AS held, (SELECT count(*) FROM t) AS n, (SELECT CAST(sum(len(t)) AS BIGINT) FROM t) AS total FROM f GROUP BY term"""
+
+
 def bm25_filtered_after(spark, d):
     """Filters come after scoring: the corpus statistics are of all documents."""
     hits = R.score(R.build_index(V.corpus(spark, d), q := R.query_terms(V.asked(spark, d))), q, "bm25+")
