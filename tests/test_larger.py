@@ -35,6 +35,21 @@ def test_preferences_of_long_ballots(spark, tmp_path):
     same(spark, "ballot_preferences", tmp_path, **LONG)
 
 
+@pytest.mark.parametrize("voter", ["borda"])
+def test_voters_of_long_ballots(spark, tmp_path, voter):
+    same(spark, f"fuse_{voter}", tmp_path, **LONG)
+
+
+@pytest.mark.parametrize("voter", ["borda"])
+def test_ties_are_first_seen_in_whole_ballots(spark, voter):
+    """x and y get the same from ballots 1 and 2; the first ballot names y before x, both beyond its first 64."""
+    filler = lambda n, at: [f"f{at}-{i}" for i in range(n)]
+    lists = [[*filler(65, 0), "y", "x"], [*filler(5, 1), "x"], [*filler(5, 2), "y"]]
+    b = spark.createDataFrame([("q", i, p, k, 1.0) for i, own in enumerate(lists) for p, k in enumerate(own)], "qid string, ballot int, pos int, key string, score double")
+    place = {r.key: r.place for r in FU.fuse(b, voter).collect()}
+    assert place["y"] == place["x"] - 1
+
+
 def test_preferences_keep_their_cut(spark):
     b = spark.createDataFrame([("q", 0, p, f"k{p}", 1.0) for p in range(5)], "qid string, ballot int, pos int, key string, score double")
     assert FU.preferences(b, 3).count() == 3 and FU.preferences(b, None).count() == 10
