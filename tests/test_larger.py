@@ -35,12 +35,12 @@ def test_preferences_of_long_ballots(spark, tmp_path):
     same(spark, "ballot_preferences", tmp_path, **LONG)
 
 
-@pytest.mark.parametrize("voter", ["borda", "copeland"])
+@pytest.mark.parametrize("voter", ["borda", "copeland", "dowdall"])
 def test_voters_of_long_ballots(spark, tmp_path, voter):
     same(spark, f"fuse_{voter}", tmp_path, **LONG)
 
 
-@pytest.mark.parametrize("voter", ["borda"])
+@pytest.mark.parametrize("voter", ["borda", "dowdall"])
 def test_ties_are_first_seen_in_whole_ballots(spark, voter):
     """x and y get the same from ballots 1 and 2; the first ballot names y before x, both beyond its first 64."""
     filler = lambda n, at: [f"f{at}-{i}" for i in range(n)]
