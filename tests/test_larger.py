@@ -35,7 +35,7 @@ def test_preferences_of_long_ballots(spark, tmp_path):
     same(spark, "ballot_preferences", tmp_path, **LONG)
 
 
-@pytest.mark.parametrize("voter", ["borda", "copeland", "dowdall"])
+@pytest.mark.parametrize("voter", ["borda", "copeland", "dowdall", "schulze"])
 def test_voters_of_long_ballots(spark, tmp_path, voter):
     same(spark, f"fuse_{voter}", tmp_path, **LONG)
 
@@ -53,4 +53,4 @@ def test_ties_are_first_seen_in_whole_ballots(spark, voter):
 def test_preferences_keep_their_cut(spark):
     b = spark.createDataFrame([("q", 0, p, f"k{p}", 1.0) for p in range(5)], "qid string, ballot int, pos int, key string, score double")
     assert FU.preferences(b, 3).count() == 3 and FU.preferences(b, None).count() == 10
-    assert FU.fuse(b, "copeland", 3).count() == 3
+    assert FU.fuse(b, "copeland", 3).count() == FU.fuse(b, "schulze", 3).count() == 3
