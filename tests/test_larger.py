@@ -54,3 +54,8 @@ def test_preferences_keep_their_cut(spark):
     b = spark.createDataFrame([("q", 0, p, f"k{p}", 1.0) for p in range(5)], "qid string, ballot int, pos int, key string, score double")
     assert FU.preferences(b, 3).count() == 3 and FU.preferences(b, None).count() == 10
     assert FU.fuse(b, "copeland", 3).count() == FU.fuse(b, "schulze", 3).count() == 3
+
+
+def test_peer_declared_twice(spark, tmp_path):
+    """Parts whose two links are one: 7 k mod 1009 = 3 k mod 997."""
+    same(spark, "links_symmetric", tmp_path, part="select range as p_partkey from range(1000) union all select range from range(1000, 1100000) where range * 7 % 1009 = range * 3 % 997")
