@@ -59,3 +59,25 @@ def test_preferences_keep_their_cut(spark):
 def test_peer_declared_twice(spark, tmp_path):
     """Parts whose two links are one: 7 k mod 1009 = 3 k mod 997."""
     same(spark, "links_symmetric", tmp_path, part="select range as p_partkey from range(1000) union all select range from range(1000, 1100000) where range * 7 % 1009 = range * 3 % 997")
+
+
+def _named(n, copies):
+    return [("w" if i % 3 else "v", str(i), [f"big{i % 2}", f"n{i // copies % 5}", f"m{i // copies % 7}", *([f"o{i % 4}"] if i % 5 else [])]) for i in range(n)]
+
+
+def test_links_of_copies(spark):
+    """Claims of one set in numbers beyond the pool, sets of other sizes, against every pair of claims."""
+    claims = _named(420, 3) + [("w", f"c{i}", ["same", "set"]) for i in range(90)] + [("w", "none", []), ("w", "lone", ["own"])]
+    atoms = spark.createDataFrame(claims, "workspace string, id string, names array<string>")
+    alike = lambda x, y: len(set(x[2]) & set(y[2])) / len({*x[2], *y[2]}) if x[0] == y[0] and x[2] else 0.0
+    near = {x[1]: [(alike(x, y), y[1], set(y[2])) for y in claims if y[1] != x[1] and alike(x, y) >= L.THRESHOLD] for x in claims}
+    pairs = {(r.a, r.b): r.overlap for r in L.entity_pairs(atoms, atoms).collect()}
+    assert pairs == {(a, b): o for a, own in near.items() for o, b, _ in own}
+
+
+def test_frequent_names_meet_no_pairs(spark):
+    """One name in common of 4,000 sets of three: 16 million pairs share it, none is a result, and none leaves the join."""
+    atoms = spark.range(4000).select(F.lit("w").alias("workspace"), F.col("id").cast("string").alias("id"), F.array(F.lit("all"), F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id")).alias("names"))
+    x = L._classes(atoms)
+    met = L._class_pairs(x, x, L.THRESHOLD)
+    assert met.count() == 4000 and L.entity_pairs(atoms, atoms).count() == 0
