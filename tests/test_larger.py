@@ -73,6 +73,9 @@ def test_links_of_copies(spark):
     near = {x[1]: [(alike(x, y), y[1], set(y[2])) for y in claims if y[1] != x[1] and alike(x, y) >= L.THRESHOLD] for x in claims}
     pairs = {(r.a, r.b): r.overlap for r in L.entity_pairs(atoms, atoms).collect()}
     assert pairs == {(a, b): o for a, own in near.items() for o, b, _ in own}
+    assert {r.id: r.links for r in L.link_targets(atoms).collect()} == {a: L.targets(a, own) for a, own in near.items() if own}
+    some = atoms.where("id like '%7'")
+    assert {r.id: r.links for r in L.link_targets(atoms, some).collect()} == {a: L.targets(a, own) for a, own in near.items() if own and a.endswith("7")}
 
 
 def test_frequent_names_meet_no_pairs(spark):
