@@ -1,16 +1,17 @@
 """Queries against their SQL on tables where the smallest scale shows no difference: long ballots, peers declared twice, copies."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
+from atomweave.functions.fnv import fnv_words
 from atomweave.operators import fusion as FU
 from atomweave.operators import graph as G
 from atomweave.operators import links as L
-from atomweave.operators import sets as ST
 from atomweave.plans import catalogue
-from atomweave.plans import views as V
 
 
 def same(spark, name, folder, **tables):
@@ -84,3 +85,50 @@ def test_frequent_names_meet_no_pairs(spark):
     x = L._classes(atoms)
     met = L._class_pairs(x, x, L.THRESHOLD)
     assert met.count() == 4000 and L.entity_pairs(atoms, atoms).count() == 0
+
+
+def _plain_louvain(near, m2, gain=1e-12):
+    """Local moves that look at every node in every pass."""
+    com, k, moved = list(range(len(near))), [sum(x.values()) for x in near], True
+    tot = k[:]
+    while moved:
+        moved = False
+        for i, row in enumerate(near):
+            to = {}
+            for j, w in row.items():
+                if j != i:
+                    to[com[j]] = to.get(com[j], 0.0) + w
+            tot[com[i]] -= k[i]
+            best, value = com[i], to.get(com[i], 0.0) - tot[com[i]] * k[i] / m2
+            for c in sorted(to):
+                if to[c] - tot[c] * k[i] / m2 > value + gain:
+                    best, value = c, to[c] - tot[c] * k[i] / m2
+            tot[best] += k[i]
+            moved |= best != com[i]
+            com[i] = best
+    return com
+
+
+def test_louvain_moves_pass_over_nodes_that_stay():
+    """Random graphs of many densities, weights, loops and lone nodes: the moves of every pass over all nodes."""
+    rng = random.Random(5)
+    for n, degree in [(1, 0), (30, 2), (80, 4), (300, 6), (300, 40), (900, 12)] * 4:
+        near = [{} for _ in range(n)]
+        for _ in range(n * degree // 2):
+            a, b = (rng.randrange(n), rng.randrange(n)) if rng.random() < 0.5 else ((x := rng.randrange(n)), min(n - 1, x // 10 * 10 + rng.randrange(10)))
+            near[a][b] = near[b][a] = rng.choice([0.25, 0.5, 0.75, 1.0])
+        m2 = sum(sum(x.values()) for x in near)
+        if m2:
+            com = _plain_louvain(near, m2)
+            assert G._moves(near, m2, 1e-12) == (com, com != list(range(n)))
+
+
+def test_colours_take_neighbours_at_once():
+    rng = random.Random(6)
+    ids = [f"n{i}" for i in range(60)]
+    pairs = {p for _ in range(200) for a, b in [rng.sample(ids[:50], 2)] for p in ((a, b, 1.0), (b, a, 1.0))}
+    near = {x: [b for a, b, _ in pairs if a == x] for x in ids}
+    colour = {x: fnv_words([len(near[x])]) for x in ids}
+    for _ in range(3):
+        colour = {x: fnv_words([colour[x], *sorted(colour[y] for y in near[x])]) for x in ids}
+    assert G.wl_colours(ids, sorted(pairs)) == colour
