@@ -91,3 +91,27 @@ def test_grams(spark):
     got = spark.createDataFrame([(word,), ("",), (None,), ("ab",)], "w string").select(T.grams(F.col("w")).alias("g")).collect()
     assert set(got[0].g) == {word[i : i + n] for n in range(1, 9) for i in range(700 - n + 1)}
     assert got[1].g == got[2].g == [] and sorted(got[3].g) == ["a", "ab", "b"]
+
+
+def test_search_shuffles_neither_words_nor_hits(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abc") for _ in range(r.randrange(2, 7))) for _ in range(80)]
+    docs = [(i, [r.choice(vocabulary) for _ in range(r.randrange(0, 20))], i % 7 / 10) for i in range(400)]
+    asked = [(f"q{i}", [r.choice(vocabulary) for _ in range(6)]) for i in range(30)] + [("none", []), ("absent", ["zzzz"])]
+    c = spark.createDataFrame(docs, "id int, tokens array<string>, bonus double").repartition(3)
+    q = spark.createDataFrame(asked, "qid string, tokens array<string>")
+    for scorer in ("bm25", "bm25+", "dirichlet"):
+        terms = R.query_terms(q)
+        whole = R.score(R.build_index(c, terms), terms, scorer).join(c, "id").select("qid", "id", (F.col("relevance") + F.col("bonus")).alias("score"))
+        want = {(x.qid, x.rank): (x.id, round(x.score, 9)) for x in R.top_k(whole, 9, digits=9).collect()}
+        got = R.search_weighed(c, q, scorer, 9)
+        assert {(x.qid, x.rank): (x.id, round(x.score, 9)) for x in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().toString()
+    scan = R.search_linear(c, q, 9)
+    want = {}
+    for qid, words in asked:
+        hits = [(-sum(max((word_score(w, h) for h in tokens), default=0.0) for w in words), b, i) for i, tokens, b in docs]
+        for at, (s, i) in enumerate(sorted((round(s - b, 9), i) for s, b, i in hits if s < 0)[:9], 1):
+            want[qid, at] = (i, -s)
+    assert {(x.qid, x.rank): (x.id, round(x.score, 9)) for x in scan.collect()} == want
+    assert "Join" not in scan._jdf.queryExecution().toString()
