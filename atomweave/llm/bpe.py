@@ -24,7 +24,17 @@ from .common import lean, small_batches, text_slices
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern for lower-cased texts of code points up to U+00FF, where letters and numbers are these.
 LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-BEYOND = re.compile("[^\x00-\xff]|<\\|")
+
+
+def beyond(text: str) -> bool:
+    """Whether a text has code points above U+00FF or may hold special tokens. A text that has none is stored as Latin-1, so this is a copy, not a search."""
+    if "<|" in text:
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
 
 
 def byte_alphabet() -> list[str]:
@@ -57,11 +67,11 @@ class PieceEncoder:
         raise NotImplementedError
 
     def cut(self, text: str) -> list[str]:
-        if BEYOND.search(text) is None:
+        if not beyond(text):
             return LATIN.findall(text.lower())
         out: list[str] = []
         for chunk in text.replace("\n", " ").split(" "):
-            out += LATIN.findall(chunk.lower()) if BEYOND.search(chunk) is None else self.pieces(chunk)
+            out += LATIN.findall(chunk.lower()) if not beyond(chunk) else self.pieces(chunk)
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import BEYOND, PieceEncoder
+from .bpe import PieceEncoder, beyond
 from .common import lean, partitions, shared_path, text_slices
 
 MAGIC = b"ADAC0001"
@@ -152,12 +152,14 @@ class LibraryEncoder(PieceEncoder):
         return [chunk]
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        """Plain pieces go to the library a thousand at a time, joined by blanks, and are told apart by the word-end tokens."""
+        """Plain pieces go to the library a thousand at a time, joined by blanks, and are told apart by the word-end tokens. A thousand are searched for others at once, by themselves only where one is found."""
         ids = {}
-        plain = [p for p in pieces if BEYOND.search(p) is None]
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        for i in range(0, len(pieces), 1000):
+            some = pieces[i : i + 1000]
+            if beyond(text := " ".join(some)):
+                some = [p for p in some if not beyond(p)]
+                text = " ".join(some)
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = got.tobytes(), [0, *((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()]
             ids.update(zip(some, (raw[x:y] for x, y in zip(ends, ends[1:], strict=False)), strict=True))
         for p in pieces:

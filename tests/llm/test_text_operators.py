@@ -610,3 +610,20 @@ def test_features_do_not_depend_on_the_cache():
         y, m = make(texts)
         assert (x == y).all() and (n == m).all()
     assert n.tolist() == [4, 1, 1, 1]
+
+
+def test_token_files_search_plain_pieces_together(monkeypatch):
+    """Plain pieces are searched a thousand at a time; those with others among them get the ids that each gets by itself."""
+    from atomweave.llm import token_files
+    from atomweave.llm.queries import tokenizer_path
+
+    calls, own = [], token_files.beyond
+    monkeypatch.setattr(token_files, "beyond", lambda text: calls.append(text) or own(text))
+    encoder = token_files.LibraryEncoder(tokenizer_path(), 10)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    got = encoder.encode(plain)
+    assert len(calls) == 3
+    mixed = ["plain", "\u4f60\u597d", "<|", "a<|b", "\u0142\u00f3d\u017a", "last"]
+    one = lambda p: np.array(encoder.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode(mixed) == [one(p) for p in mixed] and encoder.encode(mixed[1:3]) == [one(p) for p in mixed[1:3]]
+    assert got[::100] == [one(p) for p in plain[::100]] and encoder.encode([]) == []
