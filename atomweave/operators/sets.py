@@ -8,34 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.predicates import IDENTITY, MAIL
-
-
-def jaccard_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of (id, items) sets at the threshold or above, a <> b; right None: a < b within left.
-
-    A prefix filter: items in order of rarity, only the first n - ceil(t n) + 1 of each set meet, so frequent items rarely do.
-    Two empty sets never meet here.
-    """
-    both = left.select("id", "items", F.lit(0).alias("side"))
-    if right is not None:
-        both = both.unionByName(right.select("id", "items", F.lit(1).alias("side")))
-    flat = both.select("side", "id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    df = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    own = flat.join(df, "item")
-    order = W.partitionBy("side", "id").orderBy("df", "item")
-    least = lambda n, share: n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1
-    own = own.withColumn("at", F.row_number().over(order)).where(F.col("at") <= least(F.col("n"), threshold))
-    a = own.where("side = 0").select("item", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = own.where(f"side = {0 if right is None else 1}").select("item", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # Sizes within the threshold; the smaller set shares an item of its shorter prefix; what follows both places leaves room for the overlap.
-    share = 2 * threshold / (1 + threshold)
-    small = F.when(F.col("na") <= F.col("nb"), F.col("pa") <= least(F.col("na"), share)).otherwise(F.col("pb") <= least(F.col("nb"), share))
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)) & small & room
-    pairs = a.join(b, "item").where((F.col("a") < F.col("b")) if right is None else (F.col("a") != F.col("b"))).where(fits).select("a", "b").distinct()
-    sets = lambda side, name, s: both.where(f"side = {side}").select(F.col("id").alias(name), F.col("items").alias(s))
-    full = pairs.join(sets(0, "a", "sa"), "a").join(sets(0 if right is None else 1, "b", "sb"), "b")
-    return full.withColumn("jaccard", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
+from .setjoin import jaccard_pairs as jaccard_pairs
 
 
 def same_claims(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
