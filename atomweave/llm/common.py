@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +30,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/atomweave/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that run inside remove their shuffle files when they end; else the files stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: (name, path) of the tables written inside the innermost scratch().
+MADE: ContextVar[list | None] = ContextVar("MADE", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Deletes the tables written inside when it ends, but for those named in keep, which go to the scratch() around it. What leaves it may read no others."""
+    token = MADE.set([])
+    try:
+        yield
+    finally:
+        made = MADE.get()
+        MADE.reset(token)
+        if MADE.get() is not None:
+            MADE.get().extend(x for x in made if x[0] in keep)
+        for _, path in (x for x in made if x[0] not in keep):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, survives lost executors, cuts lineage."""
+    """df as a Parquet table in the shared folder: computed once, survives lost executors, cuts lineage. Its shuffle files go at once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    if MADE.get() is not None:
+        MADE.get().append((name, path))
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

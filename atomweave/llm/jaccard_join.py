@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALT_ROWS, Shingler, fresh, lean, mix64, partitions, salted, sized, small_batches, text_slices, written
+from .common import SALT_ROWS, Shingler, fresh, lean, mix64, partitions, salted, scratch, sized, small_batches, text_slices, written
 from .components import components
 
 #: Shingles whose frequency class the driver reads and broadcasts, 16 bytes each (64 MB): the most frequent ones. A shingle
@@ -229,18 +229,19 @@ def _hashes(batches):
 
 def _measure(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """(x, q, lo, hi, linked) of each pair of points: the exact distance wherever the sketches allow a link, else the sketches' bound and 1. A point may be the q of any number of pairs."""
-    side = lambda c, a, n: points.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("sketch").alias(a))
-    near = salted(pairs.select("x", "q").join(side("x", "a", "an"), "x"), side("q", "b", "bn"), "q", "x", pairs).select("x", "q", "an", "bn", "a", "b")
-    near = written(near.mapInArrow(lean(_bounds), "x long, q long, lo double, maybe boolean"), "jaccard-bounds")
-    open_ = near.where("maybe").select("x", "q")
-    ids = open_.select(F.col("x").alias("rid")).unionByName(open_.select(F.col("q").alias("rid"))).distinct()
-    ids = written(ids.join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
-    sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(lean(_hashes), "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
-    sets = written(ids.join(sets, ["id0", "th"]).select("rid", "set"), "jaccard-sets")
-    both = salted(open_.join(sets.select(F.col("rid").alias("x"), F.col("set").alias("a")), "x"), sets.select(F.col("rid").alias("q"), F.col("set").alias("b")), "q", "x", open_)
-    exact = both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean")
-    out = near.join(exact, ["x", "q"], "left").select("x", "q", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    return written(out, "jaccard-measured")
+    with scratch(points.sparkSession, "jaccard-measured"):
+        side = lambda c, a, n: points.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("sketch").alias(a))
+        near = salted(pairs.select("x", "q").join(side("x", "a", "an"), "x"), side("q", "b", "bn"), "q", "x", pairs).select("x", "q", "an", "bn", "a", "b")
+        near = written(near.mapInArrow(lean(_bounds), "x long, q long, lo double, maybe boolean"), "jaccard-bounds")
+        open_ = near.where("maybe").select("x", "q")
+        ids = open_.select(F.col("x").alias("rid")).unionByName(open_.select(F.col("q").alias("rid"))).distinct()
+        ids = written(ids.join(points.select("rid", "id0", "th"), "rid"), "jaccard-ids")
+        sets = docs.select("id0", "th", "text").join(sized(ids.select("id0", "th").distinct()), ["id0", "th"], "left_semi").mapInArrow(lean(_hashes), "id0 long, th long, set binary").dropDuplicates(["id0", "th"])
+        sets = written(ids.join(sets, ["id0", "th"]).select("rid", "set"), "jaccard-sets")
+        both = salted(open_.join(sets.select(F.col("rid").alias("x"), F.col("set").alias("a")), "x"), sets.select(F.col("rid").alias("q"), F.col("set").alias("b")), "q", "x", open_)
+        exact = both.select("x", "q", "a", "b").mapInArrow(lean(_exact), "x long, q long, d double, linked boolean")
+        out = near.join(exact, ["x", "q"], "left").select("x", "q", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        return written(out, "jaccard-measured")
 
 
 def _ratio(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -359,6 +360,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     long text is read whole. Other columns of docs are not read, whatever their names. An empty table gives no rows. row_col:
     a column of distinct numbers to take as rid.
     """
+    with scratch(docs.sparkSession, "jaccard-reach", "jaccard-names"):
+        return _components_of(docs, id_col, text_col, rare, region, row_col)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, rare: int, region: int, row_col: str | None) -> DataFrame:
+    """jaccard_components; the result reads the tables of reach and names only."""
     sc, bits = small_batches(docs).sparkSession.sparkContext, _bits(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
@@ -432,8 +439,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with null, empty or wordless texts stay, each by itself. Extra columns may have any names. An empty table gives no rows.
     """
-    (row,) = fresh(docs, "row_number")
-    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-docs")
-    kept = jaccard_components(own.select(F.col(row).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), row_col="rid")
-    gone = written(kept.where(~F.col("keep")).select(F.col("rid").alias(row)), "jaccard-gone")
+    with scratch(docs.sparkSession, "jaccard-docs", "jaccard-gone"):
+        (row,) = fresh(docs, "row_number")
+        own = written(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-docs")
+        kept = jaccard_components(own.select(F.col(row).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), row_col="rid")
+        gone = written(kept.where(~F.col("keep")).select(F.col("rid").alias(row)), "jaccard-gone")
     return own.join(sized(gone), row, "left_anti").select(*docs.columns)
