@@ -151,7 +151,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def text_slices(column, chars: int = 3_000_000):
+def text_slices(column, chars: int = 1_000_000):
     """(from, to, texts) of runs of rows of an Arrow string column of about that many bytes, nulls as empty texts; only one run is decoded at a time."""
     import pyarrow.compute as pc
 

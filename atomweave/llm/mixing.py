@@ -44,11 +44,15 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, weights: dict[tuple, float], total: float) -> DataFrame:
     """leaves (LEAF columns, tokens, holds) with their budget. weights: by any path prefix, 1 where absent; total: tokens wanted."""
+    import pyarrow as pa
+
     spark, held = leaves.sparkSession, leaves
     for k in range(1, 4):
         own = [(*path, float(w)) for path, w in weights.items() if len(path) == k]
         names = LEAF[:k]
-        table = spark.createDataFrame(own, ", ".join([*(f"{c} string" for c in names), f"w{k} double"]))
+        # By way of Arrow: rows of Python would start a second set of Python workers on every executor.
+        columns = [pa.array([r[i] for r in own], pa.string() if i < k else pa.float64()) for i in range(k + 1)]
+        table = spark.createDataFrame(pa.table(columns, names=[*names, f"w{k}"]))
         held = held.join(F.broadcast(table), names, "left").withColumn(f"w{k}", F.coalesce(f"w{k}", F.lit(1.0)))  # as many rows as weights given
     usable = F.col("holds")
     for k in (3, 2, 1):
