@@ -132,3 +132,56 @@ def test_colours_take_neighbours_at_once():
     for _ in range(3):
         colour = {x: fnv_words([colour[x], *sorted(colour[y] for y in near[x])]) for x in ids}
     assert G.wl_colours(ids, sorted(pairs)) == colour
+
+
+def _bought(spark, folder, rows, parts):
+    """louvain_islands over lineitem rows (order, part), and the same by hand over every pair of parts of an order."""
+    con = duckdb.connect()
+    con.execute("create table li (l_orderkey bigint, l_partkey bigint)")
+    con.executemany("insert into li values (?, ?)", rows)
+    con.execute(f"copy li to '{folder}/lineitem.parquet' (format parquet)")
+    con.execute(f"copy (select range as p_partkey from range({parts})) to '{folder}/part.parquet' (format parquet)")
+    orders, count = {}, {}
+    for o, p in rows:
+        if o is not None and p is not None and p < parts:
+            orders.setdefault(o, set()).add(p)
+    for own in orders.values():
+        for a in own:
+            for b in own - {a}:
+                count[a, b] = count.get((a, b), 0) + 1
+    near = [{b: min(count[a, b] / 4, 1.0) for b in range(parts) if (a, b) in count} for a in range(parts)]
+    colour = {a: fnv_words([len(near[a])]) for a in range(parts)}
+    for _ in range(3):
+        colour = {a: fnv_words([colour[a], *sorted(colour[b] for b in near[a])]) for a in range(parts)}
+    member = _plain_levels(near)
+    islands = {c: [a for a in range(parts) if member[a] == c] for c in member}
+    want = {f"{a:08d}": (f"{min(own):08d}", f"{fnv_words(sorted(colour[x] for x in own)):016x}") for own in islands.values() for a in own}
+    got = catalogue.QUERIES["louvain_islands"](spark, str(folder)).collect()
+    return {r.id: (r.label, r.signature) for r in got}, want
+
+
+def _plain_levels(near):
+    """The island of each node: plain moves, level by level."""
+    member, m2 = list(range(len(near))), sum(sum(x.values()) for x in near)
+    while m2:
+        com = _plain_louvain(near, m2)
+        names = {c: i for i, c in enumerate(dict.fromkeys(com))}
+        member = [names[com[c]] for c in member]
+        if len(names) == len(near):
+            break
+        joined = [{} for _ in names]
+        for i, row in enumerate(near):
+            for j, w in row.items():
+                a, b = names[com[i]], names[com[j]]
+                joined[a][b] = joined[a].get(b, 0.0) + w
+        near = joined
+    return member
+
+
+@pytest.mark.parametrize("odd", [[], [(None, 1), (None, 100), (1, None), (2, None), (3, 500), (4, 500)]], ids=["whole", "odd"])
+def test_islands_of_every_pair_of_an_order(spark, tmp_path, odd):
+    """The first and the last part of an order are linked too; rows without an order, and parts that are none, name no pair."""
+    rng = random.Random(7)
+    rows = [(o, o % 4 * 30 + rng.randrange(30)) for o in range(400) for _ in range(rng.randrange(1, 7))]
+    got, want = _bought(spark, tmp_path, [*rows, *rows[:50], *odd], 125)
+    assert got == want and len(set(want.values())) > 5
