@@ -185,3 +185,48 @@ def test_islands_of_every_pair_of_an_order(spark, tmp_path, odd):
     rows = [(o, o % 4 * 30 + rng.randrange(30)) for o in range(400) for _ in range(rng.randrange(1, 7))]
     got, want = _bought(spark, tmp_path, [*rows, *rows[:50], *odd], 125)
     assert got == want and len(set(want.values())) > 5
+
+
+def test_islands_of_many_components(spark):
+    """Two workspaces of components, lone claims, a loop on a claim of its own: every workspace as one graph, in plain moves."""
+    rng = random.Random(8)
+    nodes, links, want = [], [], {}
+    for space, n in (("v", 60), ("w", 230)):
+        ids = sorted(f"n{i}" for i in range(n))
+        near = [{} for _ in ids]
+        for _ in range(3 * n):
+            a = rng.randrange(n - 10)
+            b = a // 20 * 20 + rng.randrange(20)
+            if b < n - 10 and a != b:
+                near[a][b] = near[b][a] = rng.choice([0.25, 0.5, 1.0])
+        near[n - 1][n - 1] = near[3][3] = 0.5
+        nodes += [(space, x) for x in ids]
+        links += [(space, ids[a], ids[b], w) for a, row in enumerate(near) for b, w in row.items()]
+        member = _plain_levels(near)
+        want |= {(space, x): ids[member.index(member[i])] for i, x in enumerate(ids)}
+    rng.shuffle(links)
+    e = spark.createDataFrame(links, "workspace string, src string, dst string, w double")
+    got = G.communities(spark.createDataFrame(nodes, "workspace string, id string"), e.repartition(7)).collect()
+    assert len(got) == len(want) and {(r.workspace, r.id): r.label for r in got} == want
+
+
+def test_components_are_groups_of_their_own(spark):
+    """Three large components of one workspace go to tasks of their own; they waited for each other in one."""
+    n, parts = 17_000, 3
+    nodes = spark.range(n * parts).select(F.lit("w").alias("workspace"), "id")
+    links = nodes.where(f"id % {n} > 0").select("workspace", F.col("id").alias("src"), (F.col("id") - 1 - F.pmod(F.xxhash64("id"), F.least(F.lit(40), F.col("id") % n))).alias("dst"), F.lit(1.0).alias("w"))
+    e = links.unionByName(links.select("workspace", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    got = G.communities(nodes, e).groupBy((F.col("id") / n).cast("int").alias("part"), F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low")).collect()
+    assert sorted((r.part, r.n, r.low) for r in got) == [(i, n, i * n) for i in range(parts)] and len({r.task for r in got}) == parts
+
+
+def test_moves_over_links_without_weight():
+    """A link of weight 0 makes a community one of the neighbours'; weights that no sum keeps exact."""
+    rng = random.Random(9)
+    for n, degree, weights in [(200, 6, [0.0, 0.25, 1.0]), (400, 20, [0.1, 0.3, 0.7]), (400, 3, [1 / 3])]:
+        near = [{} for _ in range(n)]
+        for _ in range(n * degree // 2):
+            a, b = rng.randrange(n), rng.randrange(n)
+            near[a][b] = near[b][a] = rng.choice(weights)
+        m2 = sum(sum(x.values()) for x in near)
+        assert G._moves(near, m2, 1e-12)[0] == _plain_louvain(near, m2)
